@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, topk, warc
+from . import near_dedup, packing, token_counts, topk, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op5_top_k": op5_top_k,
+    "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
 }
 
@@ -60,5 +65,18 @@ s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.
   from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+""",
+    "op6_near_dedup": r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from d),
+e as (select doc_id, unnest(g) as h from s),
+n as (select doc_id, len(g) as n from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+u as (select x, y from l union select y, x from l),
+r as (select doc_id, doc_id as c from d union select u.y, r.c from r join u on u.x = r.doc_id),
+m as (select doc_id, min(c) as component_id from r group by 1)
+select doc_id, n.n as n_shingles, component_id, doc_id = component_id as kept from m join n using (doc_id)
 """,
 }
