@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, token_counts, topk, warc
+from . import near_dedup, packing, substring_dedup, token_counts, topk, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -43,6 +47,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_top_k": op5_top_k,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
@@ -57,6 +62,17 @@ select d.page_id, d.payload_bytes, d.payload_digest,
   case when d.payload_bytes >= 1000 and d.page_id <> m.last then 'revisit' else 'response' end as record_type,
   case when d.payload_bytes >= 1000 and d.page_id <> m.last then m.last end as refers_to
 from d left join m on d.payload_digest = m.payload_digest and d.payload_bytes >= 1000
+""",
+    "op4_substring_dedup": r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, unnest(range(1, greatest(len(w) - 11, 1))) as i, w from d),
+r as (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as h from p),
+f as (select doc_id, i, min(doc_id) over (partition by h) as first from r),
+c as (select distinct doc_id, i + j as k from f, unnest(range(0, 13)) as t(j) where first < doc_id),
+n as (select doc_id, list(k) as gone from c group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(coalesce(gone, []), k)), lambda k: w[k]), ' '), '')) as kept_sha256
+from d left join n using (doc_id)
 """,
     "op5_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as z from embeddings
