@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -131,3 +131,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
     found = now.groupBy("u").agg(F.min("v").alias("v"))
     return found.select(F.col("u").alias("node"), F.col("v").alias("component")).union(found.select(F.col("v"), F.col("v")).distinct())
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str) -> DataFrame:
+    """At most `most` rows of each value of `by`, those with the smallest hash of their id: the same rows whatever the partitions.
+
+    Only about twice as many rows as asked for are sorted. The values of `by` are classes or languages, few by nature."""
+    counts = {v: n for v, n in rows.groupBy(by).count().collect() if v is not None}
+    place = F.xxhash64(F.col(id_col).cast("string"))
+    share = F.lit(None).cast("long")
+    for v, n in counts.items():
+        share = F.when(F.col(by) == F.lit(v), F.lit(min(1 << 30, (most * 2 + 64 << 30) // max(n, 1)))).otherwise(share)
+    some = rows.where(F.pmod(place, F.lit(1 << 30)) < share)
+    order = Window.partitionBy(by).orderBy(place, F.col(id_col), *[c for c in rows.columns if c not in (by, id_col)])
+    return some.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dedup, packing, substring_dedup, token_counts, topk, warc
+from . import decontam, langid, near_dedup, packing, quality, substring_dedup, token_counts, topk, warc
 from .common import table
 
 
@@ -48,6 +48,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
 
 
+def _held_out(divisor: int, remainder: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)) == remainder
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.learn(docs.where(~_held_out(4, 2)))
+    return langid.identify(docs, samples).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels.where(~_held_out(3, 1)))
+    return quality.classify(docs, weights).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -56,6 +72,8 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
