@@ -145,3 +145,28 @@ def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str) -> DataFram
     some = rows.where(F.pmod(place, F.lit(1 << 30)) < share)
     order = Window.partitionBy(by).orderBy(place, F.col(id_col), *[c for c in rows.columns if c not in (by, id_col)])
     return some.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+
+
+def bucket_members(placed: DataFrame) -> DataFrame:
+    """Of rows (band, id) those that share their band, with the band's first id, the id before, and the place."""
+    bucket = Window.partitionBy("band").orderBy("id")
+    seen = placed.select("band", "id").withColumns({"first": F.min("id").over(bucket), "before": F.lag("id").over(bucket), "after": F.lead("id").over(bucket), "place": F.row_number().over(bucket)})
+    return seen.where("before is not null or after is not null").select("band", "id", "first", "before", "place")
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket with the first one and with the one before it: a number of pairs in proportion to the members."""
+    return shared.where("before is not null").select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("id").alias("b")).distinct()
+
+
+def still_apart(shared: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket that are in different components, without the pairs known already.
+
+    A bucket's members outside its first component meet the others; buckets of one component give nothing."""
+    split = shared.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 3").select("band", "low")
+    split = written(split.join(mixed, "band"), "split")
+    left = split.where("component > low").select("band", F.col("id").alias("x"), F.col("component").alias("c_x"))
+    right = split.select("band", F.col("id").alias("y"), F.col("component").alias("c_y"))
+    apart = left.join(right, "band").where("c_y < c_x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return apart.join(known.select("a", "b"), ["a", "b"], "left_anti")

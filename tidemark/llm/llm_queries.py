@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, near_dedup, packing, quality, substring_dedup, token_counts, topk, warc
+from . import decontam, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, topk, warc
 from .common import table
 
 
@@ -48,8 +48,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, tokens=2048, segments=64, loss=2048)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), similarity=80, distance=3)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def _held_out(divisor: int, remainder: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)) == remainder
+    """False for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)) == remainder, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, inside, mix, rows_of, window_hashes, word_hashes, written
+from .common import U64, bucket_members, components, inside, mix, rows_of, star_pairs, still_apart, window_hashes, word_hashes, written
 
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair of overlap 0.8 shares none with probability 5e-8
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2  # b, a and q of the sketch: registers fit 16 bits, and chance agreement is rare
@@ -147,17 +147,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     its own id). Equal sets are one class, told by a 128-bit digest, and only their smallest member is sketched further.
     In a bucket every member is paired with the smallest and with its neighbour; once those links are known, members
     that are still apart are paired with each other, so no bucket is expanded into all of its pairs and none loses a
-    link. Documents without words are linked with nothing. Repeated rows of an id count as one document (if their texts
-    differ, its sets are those of its rows); a null id is linked with nothing and kept. Other columns do not matter."""
+    link. Documents without words are linked with nothing. Repeated rows of an id count as one document; a null id is linked with nothing and kept. Other columns do not matter."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
     sets = rows.where("n_shingles > 0 and id is not null")
     classes = written(sets.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"), F.first("registers").alias("registers")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "n_shingles", "registers").dropDuplicates(["id"])
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    bucket = Window.partitionBy("band").orderBy("id")
-    placed = reps.select("id", bands.alias("i", "band")).withColumns({"first": F.min("id").over(bucket), "before": F.lag("id").over(bucket), "after": F.lead("id").over(bucket), "place": F.row_number().over(bucket)})
-    shared = written(placed.where("before is not null or after is not null").select("band", "id", "first", "before", "place"), "buckets")
-    pairs = shared.where("before is not null").select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("id").alias("b")).distinct()
+    shared = written(bucket_members(reps.select("id", bands.alias("i", "band"))), "buckets")
+    pairs = star_pairs(shared)
     likely = written(_likely(pairs, reps, threshold), "likely")
     ids = shared.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -179,13 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     links = links.unionByName(more)
     if not more.isEmpty():
         found = written(components(links), "components")
-    # members of one bucket that are still in different components, and were not paired above
-    split = shared.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 3").select("band", "low")
-    split = written(split.join(mixed, "band"), "split")
-    left = split.where("component > low").select("band", F.col("id").alias("x"), F.col("component").alias("c_x"))
-    right = split.select("band", F.col("id").alias("y"), F.col("component").alias("c_y"))
-    apart = left.join(right, "band").where("c_y < c_x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    apart = still_apart(shared, found, pairs)
     last = written(links_of(_likely(apart, reps, threshold), None, False), "links")
     if not last.isEmpty():
         found = written(components(links.unionByName(last)), "components")
