@@ -91,9 +91,9 @@ query("rate_misses", f"with {STAGED} select product_id, count(*) as records from
     lambda s, d: C.rate_misses(C.classify(positions(s, d), RULES, "product_id"), rates(s), ["product_id"])
 )
 query("live_coverage", f"with {STAGED} select product_id, count(*) as records, sum(balance_usd)::double as balance from staged group by 1")(lambda s, d: staged(s, d).groupBy("product_id").agg(F.count("*").alias("records"), _money("balance_usd").alias("balance")))
-_after = f"""case when {RULE_SQL['r1']} and account_type <> 'TIME' then 'O.D.1' when {RULE_SQL['r2']} then 'O.D.2' when {RULE_SQL['r4']} then 'O.W.2'
+AFTER = f"""case when {RULE_SQL['r1']} and account_type <> 'TIME' then 'O.D.1' when {RULE_SQL['r2']} then 'O.D.2' when {RULE_SQL['r4']} then 'O.W.2'
   when direction = 'INFLOW' and is_secured and collateral_class = 'L1' then 'I.S.1' when direction = 'INFLOW' and segment = 'RETAIL' then 'I.U.1' end"""
-MIGRATION = f"with {POSITIONS}, m as (select {PRODUCT} as a, {_after} as b, balance_usd from positions) select coalesce(a, '(unmapped)') as from_value, coalesce(b, '(unmapped)') as to_value, count(*) as records, sum(balance_usd)::double as notional from m where a is distinct from b group by 1, 2"
+MIGRATION = f"with {POSITIONS}, m as (select {PRODUCT} as a, {AFTER} as b, balance_usd from positions) select coalesce(a, '(unmapped)') as from_value, coalesce(b, '(unmapped)') as to_value, count(*) as records, sum(balance_usd)::double as notional from m where a is distinct from b group by 1, 2"
 query("class_migration", MIGRATION)(lambda s, d: C.migration(positions(s, d), RULES, RULES_AFTER, "balance_usd"))
 query("rules_with_share", f"{_won} select ord, rule_id, emit, coalesce(records, 0) as records, coalesce(records, 0)::double / (select count(*) from positions)::double as record_share, coalesce(notional, 0)::double / (select sum(balance_usd)::double from positions) as notional_share from rules left join w using (rule_id)")(
     lambda s, d: C.rules_with_share(positions(s, d), RULES, "balance_usd")
@@ -214,7 +214,7 @@ def report_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "report_range",
-    f"""with {POSITIONS}, c as (select *, case when as_of_date >= date '1995-01-01' and as_of_date < date '1998-01-01' then {PRODUCT} when as_of_date >= date '1998-01-01' then {_after} end as product_id from positions)
+    f"""with {POSITIONS}, c as (select *, case when as_of_date >= date '1995-01-01' and as_of_date < date '1998-01-01' then {PRODUCT} when as_of_date >= date '1998-01-01' then {AFTER} end as product_id from positions)
 select product_id, entity_id, as_of_date, coalesce(sum(balance_usd) filter (where direction = 'OUTFLOW'), 0)::double as gross_outflow, count(*) as records from c group by all""",
 )
 def report_range(spark: SparkSession, sf_dir: str) -> DataFrame:
