@@ -54,14 +54,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words [^\\x20\\x09-\\x0D]+ of a batch, the words of all texts end to end as places in that list, and the n + 1 offsets of the texts.
 
     Null and empty texts have no words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     ends = lists.offsets.to_numpy()
     coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
     ends = ends.astype(np.int64) - int(ends[0])
@@ -75,9 +75,12 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[list[str], np.nda
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, end to end, and the n + 1 offsets of the texts; each distinct word is hashed once."""
-    names, index, ends = split_words(texts, lower)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), U64, len(names))[index] if names else np.zeros(0, U64), ends
+    """64-bit hashes of the words of all texts, end to end, and the n + 1 offsets of the texts; each distinct word is hashed once.
+
+    lower: with A-Z as a-z."""
+    names, index, ends = split_words(texts)
+    data = (n.encode().lower() for n in names) if lower else names
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, data), U64, len(names))[index] if names else np.zeros(0, U64), ends
 
 
 def window_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
