@@ -2,7 +2,7 @@
 
 Candidates first: every run of `window` words holds a least anchor (a shorter run, by hash), and equal runs hold equal
 anchors, so only anchors met in two documents can lie in a repeated run. The runs around those are then grouped by a
-128-bit hash to confirm which recur, and in which document each is met first. Confirmed runs that follow each other are
+96-bit hash to confirm which recur, and in which document each is met first. Confirmed runs that follow each other are
 joined into passages. Every task compiles the passages of its own share of the documents (a shard) into an automaton
 and streams those documents through it to locate every occurrence; a document needs no other shard's automaton, as
 all passages that lie in it were confirmed in it."""
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import inside, rows_of, signed, window_hashes, word_hashes, written
 
+NONE = np.iinfo(np.int64).min  # no id: no run starts here
 SHARD_DOCS = 500  # documents whose passages share an automaton
 SHARD_BYTES = 4 << 20  # and their text at most, or one document
 
@@ -29,7 +30,7 @@ def least_anchors(words: np.ndarray, ends: np.ndarray, window: int, anchor: int)
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = window_hashes(words, anchor)
+    hashes = window_hashes(words, anchor) >> np.uint64(16)  # 48 bits: a chance match only adds a candidate
     least, width, want = hashes, 1, window - anchor + 1
     while 2 * width <= want:  # sliding minimum by doubling
         least = np.minimum(least[: len(least) - width], least[width:])
@@ -73,20 +74,22 @@ def _runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 words, ends = word_hashes(part.column(1))
                 at, rows, least = least_anchors(words, ends, window, anchor)
                 lists = part.column(2)
+                if not lists.null_count < len(lists):
+                    continue
                 sizes = np.diff(lists.offsets.to_numpy())
                 known = np.sort(_pair(np.repeat(np.arange(len(ids)), sizes), lists.flatten().to_numpy().view(np.uint64)))
                 keep = _found(known, _pair(rows, least))
                 at, rows = at[keep], rows[keep]
                 if not len(at):
                     continue
-                one, two = window_hashes(words, window)[at], window_hashes(words, window, 1)[at]
+                one, two = window_hashes(words, window)[at], (window_hashes(words, window, 1)[at] >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((one, rows))
                 one, two, rows = one[order], two[order], rows[order]
                 new = np.ones(len(rows), bool)
                 new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (rows[1:] != rows[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[new]], pa.int64()), pa.array(signed(one[new])), pa.array(signed(two[new]))], names=["id", "one", "two"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[new]], pa.int64()), pa.array(signed(one[new])), pa.array(two[new].view(np.int32))], names=["id", "one", "two"])
 
-    return docs.mapInArrow(find, "id long, one long, two long")
+    return docs.mapInArrow(find, "id long, one long, two int")
 
 
 def _pair(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -125,15 +128,15 @@ def locate(texts: list[list[bytes]], ids: list[int], passages: dict[bytes, int])
 
 
 def passages_of(words: list[bytes], firsts: np.ndarray, window: int) -> Iterator[tuple[bytes, int]]:
-    """Passages of one document: runs that follow each other and are met first in the same document. firsts: for each word's place the id of the document where the run from there is met first, or -1."""
-    places = np.flatnonzero(firsts >= 0)
+    """Passages of one document: runs that follow each other and are met first in the same document. firsts: for each word's place the id of the document where the run from there is met first, or NONE."""
+    places = np.flatnonzero(firsts != NONE)
     if len(places):
         cuts = np.flatnonzero((np.diff(places) > 1) | (np.diff(firsts[places]) != 0)) + 1
         for group in np.split(places, cuts):
             yield b" " + b" ".join(words[group[0] : group[-1] + window]) + b" ", int(firsts[group[0]])
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """Remove each word that lies in a run of `window` words which also starts in a document with a smaller id.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; runs are judged on the input. One row for each input row: id_col,
@@ -146,10 +149,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, id_col: s
     met = _anchors(known, window, anchor).withColumns({"before": F.lag("id").over(same), "after": F.lead("id").over(same)})
     met = met.where("before < id or after > id").groupBy("id").agg(F.array_distinct(F.collect_list("anchor")).alias("anchors"))
     keyed = base.repartition("id")
-    candidates = keyed.join(met, "id")
+    candidates = keyed.join(met, "id", "left")  # as the join below, so that the texts are shuffled once for both
     same = Window.partitionBy("one", "two").orderBy("id")
     again = _runs(candidates.select("id", "text", "anchors"), window, anchor).withColumn("first", F.min("id").over(same)).where("first < id")
-    again = again.groupBy("id").agg(F.collect_list(F.struct("one", "two", "first")).alias("runs"))
+    again = again.groupBy("id").agg(F.collect_list(F.struct("one", "first")).alias("runs"))  # within one document 64 bits tell runs apart
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,17 +174,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, id_col: s
         passages: dict[bytes, int] = {}
         if len(has):
             hashes, ends = word_hashes(part.column(1))
-            one, two = window_hashes(hashes, window), window_hashes(hashes, window, 1)
+            one = window_hashes(hashes, window)
             ok = inside(ends, window, len(one))
             for r in has.tolist():
                 runs = lists[r].values
-                a, b, f = (runs.field(i).to_numpy() for i in range(3))
-                order = np.lexsort((b, a))
-                a, b, f = a[order], b[order], f[order]
-                x, y = signed(one[ends[r] : min(ends[r + 1], len(one))]), signed(two[ends[r] : min(ends[r + 1], len(one))])
+                a, f = (runs.field(i).to_numpy() for i in range(2))
+                order = np.argsort(a, kind="stable")
+                a, f = a[order], f[order]
+                here = slice(ends[r], min(ends[r + 1], len(one)))
+                x = signed(one[here])
                 at = np.minimum(np.searchsorted(a, x), len(a) - 1)
-                firsts = np.full(len(words[r]), -1, np.int64)
-                hit = (a[at] == x) & (b[at] == y) & ok[ends[r] : min(ends[r + 1], len(one))]
+                firsts = np.full(len(words[r]), NONE, np.int64)
+                hit = (a[at] == x) & ok[here]
                 firsts[: len(x)][hit] = f[at[hit]]
                 for p, first in passages_of(words[r], firsts, window):
                     passages[p] = min(first, passages.get(p, first))
