@@ -51,7 +51,7 @@ class Packer:
             self.keys[self.n] = key
             self.at[:, self.n] = start, tokens, learns
             self.n += 1
-            if self.n > self.size:
+            while self.n > self.size:  # a sequence of cuts alone frees no place
                 out += self._fill(self.limit[0])
         return out
 
