@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -162,14 +163,30 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     return shared.where("before is not null").select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("id").alias("b")).distinct()
 
 
-def still_apart(shared: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different components, without the pairs known already.
-
-    A bucket's members outside its first component meet the others; buckets of one component give nothing."""
+def mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (band, id, place) of the buckets that hold several components, with the member's component, the bucket's smallest, low, and its size n. Up to three members have all been paired."""
     split = shared.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 3").select("band", "low")
-    split = written(split.join(mixed, "band"), "split")
+    mixed = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 3").select("band", "low", "n")
+    return written(split.join(mixed, "band").select("band", "id", "place", "component", "low", "n"), "split")
+
+
+def still_apart(split: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of members of one mixed bucket that are in different components, without the pairs known already: its members outside its first component meet the others."""
     left = split.where("component > low").select("band", F.col("id").alias("x"), F.col("component").alias("c_x"))
     right = split.select("band", F.col("id").alias("y"), F.col("component").alias("c_y"))
     apart = left.join(right, "band").where("c_y < c_x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return apart.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and bytes, or of one row."""
+    weights = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+            weights += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(weights)))
+    start = 0
+    while start < batch.num_rows:
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(before, before[start] + size, side="right")) - 1))
+        yield batch.slice(start, stop - start)
+        start = stop
