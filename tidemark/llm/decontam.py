@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, inside, rows_of, split_words, window_hashes, written
+from .common import U64, inside, rows_of, slices, split_words, window_hashes, written
 
 BLOCK_CHARS = 16 << 20  # benchmark text that is sent to the executors at once; a larger benchmark is gone through in blocks
 MOD, FACTOR = (1 << 61) - 1, 1_000_003  # of the running hash
@@ -160,8 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = Items(*sent.value, min_match)
             for batch in batches:
-                for start in range(0, batch.num_rows, 4000):
-                    part = batch.slice(start, 4000)
+                for part in slices(batch, 4000, 32 << 20):
                     found = block.match(part.column(1), threshold)
                     row, item, covered, tiles, longest = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 5))
                     sizes = block.sizes[item]

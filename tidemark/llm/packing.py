@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import slices, split_words
 
 POOL = 768  # examples that wait in a task; more of them pad less and take longer
 KEPT_WORDS = 800_000  # words whose ids a worker keeps; all are dropped when that many are there
@@ -219,8 +219,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for start in range(0, batch.num_rows, 4000):
-                part = batch.slice(start, 4000)
+            for part in slices(batch, 4000, 32 << 20):
                 ids, ends = own.encode(part.column(1))
                 pieces = []
                 for doc, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: The white space of the tokenizer's pattern, and the pattern itself.
 SPACE = r" \t-\r\x85\xa0  -     　"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,8 +179,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, tables: boo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for part in slices(batch, 2000, 32 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 if tables:
                     made = own.running(texts)
