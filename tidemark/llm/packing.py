@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import slices, split_words
 
 POOL = 768  # examples that wait in a task; more of them pad less and take longer
-KEPT_WORDS = 800_000  # words whose ids a worker keeps; all are dropped when that many are there
+KEPT_WORDS = 600_000  # words whose ids a worker keeps; all are dropped when that many are there
 
 
 class Packer:
