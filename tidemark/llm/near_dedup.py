@@ -136,14 +136,15 @@ def _crowded(split: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
         out = []
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(d["registers"]), ">u2").reshape(-1, REGISTERS).astype(np.uint16) for d in (left, right))
-            for r, (i, c, n) in enumerate(zip(left["id"], left["component"], left["n_shingles"], strict=True)):
-                sizes = right["n_shingles"].to_numpy()
-                fit = (right["component"].to_numpy() != c) & (100 * np.minimum(n, sizes) >= threshold * np.maximum(n, sizes))
-                fit &= (y == x[r]).sum(1) >= REGISTERS * (threshold / 100 - MARGIN - 0.1)
-                at = np.flatnonzero(fit)
+            sizes, of, ids = right["n_shingles"].to_numpy(), right["component"].to_numpy(), right["id"].to_numpy()
+            lone = (of == of[0]).all() and (left["component"].to_numpy() == of[0]).all()
+            for r, (i, c, n) in enumerate(() if lone else zip(left["id"].tolist(), left["component"].tolist(), left["n_shingles"].tolist(), strict=True)):
+                at = np.flatnonzero((of != c) & (100 * np.minimum(n, sizes) >= threshold * np.maximum(n, sizes)))
+                if len(at):
+                    at = at[(y[at] == x[r]).sum(1) >= REGISTERS * (threshold / 100 - MARGIN - 0.1)]
                 if len(at):
                     guess = likely_overlap(np.broadcast_to(x[r], (len(at), REGISTERS)), y[at], np.full(len(at), float(n)), sizes[at].astype(float))
-                    out += [(min(i, j), max(i, j), g) for j, g in zip(right["id"].to_numpy()[at].tolist(), guess.tolist(), strict=True) if g >= threshold / 100 - MARGIN]
+                    out += [(min(i, j), max(i, j), g) for j, g in zip(ids[at].tolist(), guess.tolist(), strict=True) if g >= threshold / 100 - MARGIN]
         return pd.DataFrame(out, columns=["a", "b", "guess"]).drop_duplicates(["a", "b"])
 
     return placed.groupBy("band", "i", "j").applyInPandas(meet, "a long, b long, guess double").dropDuplicates(["a", "b"])
