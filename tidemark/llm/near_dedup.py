@@ -12,7 +12,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,6 @@ from .common import U64, bucket_members, components, inside, mix, mixed_buckets,
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair of overlap 0.8 shares none with probability 5e-8
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2  # b, a and q of the sketch: registers fit 16 bits, and chance agreement is rare
 MARGIN = 0.15  # over four standard deviations of the estimate at 0.8: pairs below threshold - MARGIN are not compared
-SMALL, BLOCK = 16, 256  # buckets of up to SMALL members are joined; in larger ones blocks of members meet by their registers
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=U64)) | U64(1)
 _ADD = mix(np.arange(1, REGISTERS + 1, dtype=U64) + U64(1 << 32))
 
@@ -122,34 +120,6 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a long, b long, guess double")
 
 
-def _crowded(split: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """As _likely, for members of large buckets that are in different components: blocks of bounded size meet, and only likely pairs come out."""
-    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
-    own = F.floor((F.col("place") - 1) / BLOCK).cast("int")
-    dealt = split.where(F.col("n") > SMALL).join(reps, "id").withColumns({"own": own, "last": last})
-    meeting = F.explode(F.concat(F.transform(F.sequence(F.col("own"), F.col("last")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.transform(F.filter(F.sequence(F.lit(0), F.col("own")), lambda i: i < F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))))
-    placed = dealt.select("band", "id", "component", "n_shingles", "registers", meeting.alias("m")).select("band", "m.i", "m.j", "m.side", "id", "component", "n_shingles", "registers")
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["side"] == 0].sort_values("id")
-        right = rows[rows["side"] == 1].sort_values("id") if rows["i"].iloc[0] != rows["j"].iloc[0] else left
-        out = []
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(d["registers"]), ">u2").reshape(-1, REGISTERS).astype(np.uint16) for d in (left, right))
-            sizes, of, ids = right["n_shingles"].to_numpy(), right["component"].to_numpy(), right["id"].to_numpy()
-            lone = (of == of[0]).all() and (left["component"].to_numpy() == of[0]).all()
-            for r, (i, c, n) in enumerate(() if lone else zip(left["id"].tolist(), left["component"].tolist(), left["n_shingles"].tolist(), strict=True)):
-                at = np.flatnonzero((of != c) & (100 * np.minimum(n, sizes) >= threshold * np.maximum(n, sizes)))
-                if len(at):
-                    at = at[(y[at] == x[r]).sum(1) >= REGISTERS * (threshold / 100 - MARGIN - 0.1)]
-                if len(at):
-                    guess = likely_overlap(np.broadcast_to(x[r], (len(at), REGISTERS)), y[at], np.full(len(at), float(n)), sizes[at].astype(float))
-                    out += [(min(i, j), max(i, j), g) for j, g in zip(ids[at].tolist(), guess.tolist(), strict=True) if g >= threshold / 100 - MARGIN]
-        return pd.DataFrame(out, columns=["a", "b", "guess"]).drop_duplicates(["a", "b"])
-
-    return placed.groupBy("band", "i", "j").applyInPandas(meet, "a long, b long, guess double").dropDuplicates(["a", "b"])
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold (in hundredths)."""
 
@@ -204,10 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     links = links.unionByName(more)
     if not more.isEmpty():
         found = written(components(links), "components")
-    split = mixed_buckets(shared, found)
-    apart = still_apart(split.where(F.col("n") <= SMALL), pairs)
-    crowded = _crowded(split, reps, threshold).join(pairs, ["a", "b"], "left_anti")
-    apart = _likely(apart, reps, threshold).unionByName(crowded).dropDuplicates(["a", "b"])
+    apart = _likely(still_apart(mixed_buckets(shared, found), pairs), reps, threshold)
     last = written(links_of(apart, None, False), "links")
     if not last.isEmpty():
         found = written(components(links.unionByName(last)), "components")
