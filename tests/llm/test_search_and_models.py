@@ -189,6 +189,15 @@ def test_chunks_cover_every_byte():
         assert own.rstrip(b"\0") == d and blocks == list(range(blocks[0], blocks[-1] + 1))
 
 
+def test_a_text_scores_the_same_alone_and_in_a_batch():
+    r = np.random.default_rng(4)
+    own = quality.ByteNetwork.fresh()
+    data = [b"", *(r.integers(1, 256, n, np.uint8).tobytes() for n in (0, 1, 63, 253, 256, 300, 382, 384, 1000)), b""]
+    alone = [float(own.score([d])[0]) for d in data]
+    assert own.score(data) == pytest.approx(alone, abs=1e-6)
+    assert own.score(data[::-1]) == pytest.approx(alone[::-1], abs=1e-6)
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

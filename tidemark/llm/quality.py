@@ -25,11 +25,11 @@ EPOCHS, BATCH, RATE = 12, 32, 0.01
 
 
 def chunked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded with zeros to whole blocks and FILTER_WIDTH - 1 more at the very end; for each chunk its first block and its text."""
+    """Bytes of all texts, each padded with zeros to whole blocks, with a block of zeros after it so that no filter reads the next text, and FILTER_WIDTH - 1 more at the very end; for each chunk its first block and its text."""
     counts = np.array([max(BLOCKS, -(-len(d) // BLOCK)) for d in data], np.int64)
     counts += counts % 2
-    flat = np.zeros(counts.sum() * BLOCK + FILTER_WIDTH - 1, np.uint8)
-    starts = (np.cumsum(counts) - counts) * BLOCK
+    flat = np.zeros((counts.sum() + len(data)) * BLOCK + FILTER_WIDTH - 1, np.uint8)
+    starts = (np.cumsum(counts + 1) - counts - 1) * BLOCK
     for d, s in zip(data, starts.tolist(), strict=True):
         flat[s : s + len(d)] = np.frombuffer(d, np.uint8)
     chunks = (counts - BLOCKS) // 2 + 1
