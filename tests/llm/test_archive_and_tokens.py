@@ -30,6 +30,15 @@ def test_every_prefix_is_exact(library):
             assert want[own.longest_prefix(t, table, budget)] <= budget
 
 
+def test_budget_takes_the_longest_of_all_prefixes(library):
+    own = token_counts.PrefixCounter(BPE)
+    for t in [*ODD, " Wednesdayx", "on Wednesday, Wednesdays" * 30]:
+        table = own.running([t])[0]
+        want = [len(library[0].encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
+        for budget in range(max(want) + 2):
+            assert own.longest_prefix(t, table, budget) == max(n for n, w in enumerate(want) if w <= budget)
+
+
 def test_prefix_tables_come_with_the_rows(spark, docs):
     for r in token_counts.token_counts(docs, BPE, tables=True).collect():
         assert (r["chunk_tokens"][-1] if r["chunk_tokens"] else 0) == r["n_tokens"]

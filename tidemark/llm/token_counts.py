@@ -56,6 +56,7 @@ class PrefixCounter:
         for b in self.ids:
             if len(b) > 1:
                 self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
+        self.widest = max(map(len, [*self.ids, *special]), default=1)
         self.special = special
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or r"(?!)")
         self.chunk = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -139,26 +140,41 @@ class PrefixCounter:
         total = self.totals.__getitem__
         return [sum(map(total, c)) for c in cut]
 
-    def prefix(self, text: str, table: tuple[list[int], list[int]], n: int) -> int:
-        """Tokens of text[:n], from the text's table and the pieces of the chunk that n falls in.
+    def before(self, text: str, table: tuple[list[int], list[int]], n: int) -> tuple[int, int]:
+        """Where the text starts that text[:n] has to be worked out from, and the tokens before that.
 
         A prefix is cut as the whole text is, but for the chunk that it ends in, and white space before that."""
         ends, counts = table
         k = bisect_right(ends, n)
         if k and text[ends[k - 1] - 1 : ends[k - 1]].isspace():
             k -= 1
-        start, done = (ends[k - 1], counts[k - 1]) if k else (0, 0)
+        return (ends[k - 1], counts[k - 1]) if k else (0, 0)
+
+    def prefix(self, text: str, table: tuple[list[int], list[int]], n: int) -> int:
+        """Tokens of text[:n], from the text's table and the pieces of the chunk that n falls in."""
+        start, done = self.before(text, table, n)
         return done + self.total([text[start:n]])[0]
 
     def longest_prefix(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
-        """The most characters n with text[:n], and every shorter prefix at a chunk's end, within a budget of tokens."""
+        """The most characters n with text[:n] within a budget of tokens, though a shorter prefix may be over it.
+
+        Counts fall again inside a chunk, so the prefixes that may be within the budget are tried from the longest down,
+        some hundred at a time, which share the work on what they have in common."""
         ends, counts = table
         k = bisect_right(counts, budget)
-        n = ends[k - 1] if k else 0
-        stop = ends[k] if k < len(ends) else n
-        while n < stop and self.prefix(text, table, n + 1) <= budget:
-            n += 1
-        return n
+        least = ends[k - 1] if k else 0
+        # a prefix that ends two chunks on holds all of a chunk that is over the budget
+        most = min(ends[k + 1] - 1, len(text)) if k + 1 < len(ends) else len(text)
+        start, done = (ends[k - 3], counts[k - 3]) if k > 2 else (0, 0)
+        most = min(most, start + max(budget - done, 0) * self.widest)
+        for high in range(most, least, -256):
+            tried = range(high, max(high - 256, least), -1)
+            known = [self.before(text, table, n) for n in tried]
+            rest = self.total([text[at:n] for (at, _), n in zip(known, tried, strict=True)])
+            for n, (_, count), more in zip(tried, known, rest, strict=True):
+                if count + more <= budget:
+                    return n
+        return least
 
 
 @lru_cache(maxsize=4)
