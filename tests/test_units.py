@@ -125,6 +125,22 @@ def test_closure_of_a_cycle_ends(spark):
     assert history.closure(edges).count() == 9
 
 
+def test_closure_has_no_bound_of_steps(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(24)], "source string, target string")
+    got = history.closure(edges)
+    assert got.count() == 24 * 25 // 2 and got.agg(F.max("depth")).first()[0] == 24
+    assert history.closure(edges, max_depth=3).agg(F.max("depth")).first()[0] == 3
+
+
+def test_arrivals_are_written_by_many_tasks_in_two_halves(spark, sf_dir, monkeypatch):
+    from tidemark.plans import quality_history as P
+
+    plain = P.activity
+    monkeypatch.setattr(P, "activity", lambda s, d: plain(s, d).repartition(3))
+    path, schema, files = P._stream_source(spark, sf_dir)
+    assert files == 3 and len(spark.read.schema(schema).parquet(path).inputFiles()) == 6
+
+
 def test_null_and_blank_keys_agree(spark):
     a = spark.createDataFrame([(None, 1.0)], "k string, m double")
     b = spark.createDataFrame([("", 1.0)], "k string, m double")

@@ -60,15 +60,20 @@ def stale_pins(board: DataFrame, revisions: DataFrame) -> DataFrame:
     return board.join(latest, "name").where("revision_no < latest_no").groupBy("board", "name", "latest_no").agg(F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
 
 
-def closure(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """All dependents of each artifact: source, target, least number of steps, up to max_depth of them.
-
-    The new pairs of each round alone go on; it ends when there are none."""
-    step = edges.select("source", "target").distinct()
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All dependents of each artifact: source, target, least number of steps, up to max_depth of them if it is given.
+
+    The new pairs of each round alone go on; it ends when there are none. Each round is a checkpoint, as plans of rounds
+    within rounds would double with every step."""
+    shared = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    settled = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    step = settled(edges.select("source", "target").distinct())
     known = frontier = step.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
         ahead = frontier.select("source", F.col("target").alias("_mid")).join(step.withColumnsRenamed({"source": "_mid"}), "_mid").select("source", "target").distinct()
-        frontier = ahead.join(known.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+        frontier = settled(ahead.join(known.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)

@@ -149,20 +149,21 @@ select board, count(*) as decisions, count(*) filter (where approved)::double /
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
-def _stream_source(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
-    """Activity in files of odd and even events, so that every day has rows that come late."""
+def _stream_source(spark: SparkSession, sf_dir: str) -> tuple[str, object, int]:
+    """Activity in files of even and then of odd events, so that every day has rows that come late; and how many files the first half has."""
     path = scratch(spark, "arrivals")
     rows = activity(spark, sf_dir)
-    for part in (0, 1):
-        rows.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
-    return path, rows.schema
+    rows.where(F.col("event_id") % 2 == 0).write.mode("append").parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    rows.where(F.col("event_id") % 2 == 1).write.mode("append").parquet(path)
+    return path, rows.schema, max(files, 1)
 
 
 @query("stream_row_stage", f"with {ACTIVITY} select event_type, case when value >= 20 then 'large' when value >= 5 then 'medium' end as size, count(*) as n from activity group by 1, 2")
 def stream_row_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, schema = _stream_source(spark, sf_dir)
+    path, schema, files = _stream_source(spark, sf_dir)
     sizes = [C.Rule("a", "value >= 20", "large"), C.Rule("b", "value >= 5", "medium")]
-    stream = S.staged_stream(spark, path, schema, [lambda d: C.classify(d, sizes, "size")])
+    stream = S.staged_stream(spark, path, schema, [lambda d: C.classify(d, sizes, "size")], files)
     out = scratch(spark, "staged")
     S.drain(stream.select("event_type", "size"), out, scratch(spark, "state"))
     return spark.read.schema("event_type string, size string").parquet(out).groupBy("event_type", "size").agg(F.count("*").alias("n"))
@@ -170,9 +171,9 @@ def stream_row_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_restate", f"with {ACTIVITY} select event_type, as_of_date, sum(value)::double as value, count(*) as records from activity group by 1, 2")
 def stream_restate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, schema = _stream_source(spark, sf_dir)
+    path, schema, files = _stream_source(spark, sf_dir)
     table = scratch(spark, "restated")
-    S.restate(S.staged_stream(spark, path, schema, []), scratch(spark, "log"), table, scratch(spark, "state"), ["event_type"], ["value"])
+    S.restate(S.staged_stream(spark, path, schema, [], files), scratch(spark, "log"), table, scratch(spark, "state"), ["event_type"], ["value"])
     return spark.read.schema("event_type string, value decimal(38,4), records long, as_of_date date").parquet(table).select("event_type", "as_of_date", F.col("value").cast("double").alias("value"), "records")
 
 
