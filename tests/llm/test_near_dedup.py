@@ -1,3 +1,5 @@
+from math import comb
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -84,3 +86,16 @@ def test_components_of_a_long_chain(spark):
 
 def test_no_edges(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_estimate_drops_no_more_pairs_than_the_bands():
+    """Registers of a pair of overlap 0.8 agree like draws of 0.8, and the others are larger on either side alike."""
+    n, lost = near_dedup.REGISTERS, 0.0
+    for equal in range(n + 1):
+        a, b = np.full((1, n), 5, np.uint16), np.full((1, n), 5, np.uint16)
+        a[0, equal : equal + (n - equal) // 2] = 6
+        b[0, equal + (n - equal) // 2 :] = 6
+        if near_dedup.likely_overlap(a, b, np.array([1000.0]), np.array([1000.0]))[0] < 0.8 - near_dedup.MARGIN:
+            lost += comb(n, equal) * 0.8**equal * 0.2 ** (n - equal)
+    print("lost", lost)
+    assert lost < (1 - 0.8**near_dedup.ROWS) ** (n // near_dedup.ROWS)
