@@ -99,3 +99,28 @@ def test_the_estimate_drops_no_more_pairs_than_the_bands():
             lost += comb(n, equal) * 0.8**equal * 0.2 ** (n - equal)
     print("lost", lost)
     assert lost < (1 - 0.8**near_dedup.ROWS) ** (n // near_dedup.ROWS)
+
+
+def test_an_id_with_several_texts_keeps_the_links_of_each(spark, words):
+    w, v = " ".join(words[:60]), " ".join(words[100:160])
+    rows = [(1, w), (5, w), (5, v), (7, v + " x"), (8, "other words altogether here now")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect())
+    assert got == [(1, 1), (5, 1), (5, 1), (7, 1), (8, 8)]
+
+
+def test_the_prefix_filter_drops_no_near_pair(spark, words):
+    """Copies around the threshold, each taken for a component of its own: all near pairs come out, and few others."""
+    rng = np.random.default_rng(4)
+    base = [words[i] for i in rng.integers(0, 400, 150)]
+    rows = []
+    for i in range(120):
+        w = list(base)[: int(rng.integers(120, 151))]
+        for j in rng.integers(0, len(w), int(rng.integers(0, 9))):
+            w[j] = f"changed{i % 7}x{j}" if rng.random() < 0.3 else f"changed{i}x{j}"
+        rows.append((i, " ".join(w)))
+    df = near_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").withColumnRenamed("key", "id")
+    got = {(r["a"]["id"], r["b"]["id"]) for r in near_dedup.apart_pairs(df.select("id", F.col("id").alias("component")), df, 5, 80).collect()}
+    sets = {i: shingles(t, 5) for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    pairs = lambda x: {tuple(sorted(p)) for p in x}
+    assert near and pairs(near) <= pairs(got) and len(got) < 0.6 * 120 * 119 / 2

@@ -164,18 +164,10 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (band, id, place) of the buckets that hold several components, with the member's component, the bucket's smallest, low, and its size n. Up to three members have all been paired."""
+    """Members (band, id) of the buckets that hold several components, with the member's component. Up to three members have all been paired."""
     split = shared.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 3").select("band", "low", "n")
-    return written(split.join(mixed, "band").select("band", "id", "place", "component", "low", "n"), "split")
-
-
-def still_apart(split: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of members of one mixed bucket that are in different components, without the pairs known already: its members outside its first component meet the others."""
-    left = split.where("component > low").select("band", F.col("id").alias("x"), F.col("component").alias("c_x"))
-    right = split.select("band", F.col("id").alias("y"), F.col("component").alias("c_y"))
-    apart = left.join(right, "band").where("c_y < c_x").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return apart.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    mixed = split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 3").select("band")
+    return split.join(mixed, "band").select("band", "id", "component")
 
 
 def slices(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,9 @@ A register holds floor(1 - log_b(min)) of exponentially distributed values, one
 its range. Registers of a union are the larger ones of each, so sketches merge; two documents agree in a register about
 as often as their shingle sets overlap. Bands of registers give candidate pairs, the joint likelihood of larger, smaller
 and equal registers (with the known set sizes) estimates their overlap, and pairs that may reach the threshold are
-confirmed on their full shingle sets. Documents linked by a chain of confirmed pairs form a component."""
+confirmed on their full shingle sets. Documents linked by a chain of confirmed pairs form a component.
+
+A document is known by its id and a hash of its text, key, so that an id with several texts loses none of them."""
 
 from __future__ import annotations
 
@@ -13,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bucket_members, components, inside, mix, mixed_buckets, rows_of, slices, star_pairs, still_apart, window_hashes, word_hashes, written
+from .common import U64, bucket_members, components, inside, mix, mixed_buckets, rows_of, signed, slices, star_pairs, window_hashes, word_hashes, written
 
 REGISTERS, ROWS = 128, 4  # 32 bands of 4: a pair of overlap 0.8 shares none with probability 5e-8
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2  # b, a and q of the sketch: registers fit 16 bits, and chance agreement is rare
+KEY = "struct<id:bigint,v:int>"
 MARGIN = 0.23  # pairs below threshold - MARGIN are not compared; at 0.8 the estimate is that low with a probability of 1e-9
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=U64)) | U64(1)
 _ADD = mix(np.arange(1, REGISTERS + 1, dtype=U64) + U64(1 << 32))
@@ -70,7 +73,7 @@ def registers(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, digest (of the whole set) and registers of every row."""
+    """key, n_shingles, digest (of the whole set) and registers of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +81,14 @@ def sketches(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str
                 values, ends = shingle_sets(part.column(1), k)
                 made = registers(values, ends)
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.binary()), pa.array([r.astype(">u2").tobytes() for r in made], pa.binary())], names=["id", "n_shingles", "digest", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.binary()), pa.array([r.astype(">u2").tobytes() for r in made], pa.binary())], names=["key", "n_shingles", "digest", "registers"])
+
+    return keyed(docs, id_col, text_col).mapInArrow(sketch, f"key {KEY}, n_shingles long, digest binary, registers binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sketch, "id long, n_shingles long, digest binary, registers binary")
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("v")).alias("key"), text.alias("text"))
 
 
 def likely_overlap(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -117,7 +125,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(guess)], names=["a", "b", "guess"]).filter(keep)
 
     joined = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a long, b long, guess double")
+    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, f"a {KEY}, b {KEY}, guess double")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -135,7 +143,35 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Da
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_a = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    return with_a.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return with_a.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {KEY}, b {KEY}")
+
+
+def apart_pairs(members: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """All pairs a, b of members (id, component) in different components that may reach the threshold, by the prefix filter of exact set joins.
+
+    With a document's shingles in the order of how many members hold them, a pair of overlap t shares one of the first
+    n - ceil(t * n) + 1 of each, and what lies behind the first that they share bounds the intersection. A document that
+    has too many shingles of its own has none to join on, so a crowded bucket gives pairs only where they can be near."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1000):
+                values, ends = shingle_sets(part.column(2), k)
+                at = pa.array(rows_of(ends))
+                sizes = pa.array(np.repeat(np.diff(ends), np.diff(ends)), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), sizes, pa.array(signed(values))], names=["id", "component", "n", "shingle"])
+
+    sets = texts.join(members.groupBy("id").agg(F.first("component").alias("component")), "id").select("id", "component", "text")
+    sets = written(sets.mapInArrow(explode, f"id {KEY}, component {KEY}, n long, shingle long"), "sets")
+    held = sets.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    own = Window.partitionBy("id")
+    ranked = sets.join(held, "shingle").withColumns({"of": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("held", "shingle"))})
+    first = ranked.withColumn("left", F.col("of") - F.col("rank") + 1).where(F.col("left") * 100 >= threshold * F.col("n"))  # shingles from this one on
+    first = written(first.select("id", "component", "n", "shingle", "left"), "prefixes")
+    one, two = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "left")]) for x in "ab")
+    fits = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    enough = (100 + threshold) * F.least("left_a", "left_b") >= threshold * (F.col("n_a") + F.col("n_b"))
+    return one.join(two, (one["shingle"] == two["shingle"]) & fits & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,20 +179,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
 
     One row for each input row: id_col, n_shingles, component_id (the smallest id reachable) and kept (whether that is
     its own id). Equal sets are one class, told by a 128-bit digest, and only their smallest member is sketched further.
-    In a bucket every member is paired with the smallest and with its neighbour; once those links are known, members
-    that are still apart are paired with each other, so no bucket is expanded into all of its pairs and none loses a
-    link. Documents without words are linked with nothing. Repeated rows of an id count as one document; a null id is linked with nothing and kept. Other columns do not matter."""
+    In a bucket every member is paired with the smallest and with its neighbour; once those links are known, members of
+    buckets that still hold several components are compared by an exact set join, so no bucket is expanded into all of
+    its pairs and none loses a link. Documents without words are linked with nothing. Equal rows of an id count as one
+    document; of an id with several texts each text has its links, and the id joins them all. A null id is linked with
+    nothing and kept. Other columns do not matter."""
     rows = written(sketches(docs, k, id_col, text_col), "sketches")
-    sets = rows.where("n_shingles > 0 and id is not null")
-    classes = written(sets.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"), F.first("registers").alias("registers")), "classes")
-    reps = classes.select(F.col("rep").alias("id"), "n_shingles", "registers").dropDuplicates(["id"])
+    sets = rows.where("n_shingles > 0 and key.id is not null")
+    classes = written(sets.groupBy("digest", "n_shingles").agg(F.min("key").alias("rep"), F.first("registers").alias("registers")), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "n_shingles", "registers")
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     shared = written(bucket_members(reps.select("id", bands.alias("i", "band"))), "buckets")
-    pairs = star_pairs(shared)
-    likely = written(_likely(pairs, reps, threshold), "likely")
-    ids = shared.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    likely = written(_likely(star_pairs(shared), reps, threshold), "likely")
+    texts = keyed(docs, id_col, text_col).withColumnRenamed("key", "id").join(shared.select("id").distinct(), "id", "left_semi")
+    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def links_of(candidates: DataFrame, before: DataFrame | None, best_only: bool) -> DataFrame:
         """Confirm candidates, or for each document only the likeliest one; candidates already in one component are not looked at."""
@@ -165,21 +201,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
             candidates = candidates.join(of.withColumnsRenamed({"node": "a", "component": "c_a"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "c_b"}), "b", "left")
             candidates = candidates.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
         if best_only:
-            candidates = candidates.groupBy("b").agg(F.max_by("a", F.struct("guess", -F.col("a"))).alias("a"))
+            candidates = candidates.groupBy("b").agg(F.max_by("a", F.struct("guess", -F.col("a.id"))).alias("a"))
         return _confirmed(candidates, texts, k, threshold)
 
-    links = written(links_of(likely, None, True), "links")
+    # an id with several texts joins their classes
+    several = sets.groupBy("key.id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
+    of_id = sets.join(several, F.col("key.id") == several["id"]).select("id", "digest", "n_shingles").join(classes.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"])
+    same = of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("least")), "id").select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a <> b")
+
+    links = written(links_of(likely, None, True).unionByName(same), "links")
     found = written(components(links), "components")
     more = written(links_of(likely, found, False), "links")
     links = links.unionByName(more)
     if not more.isEmpty():
         found = written(components(links), "components")
-    apart = _likely(still_apart(mixed_buckets(shared, found), pairs), reps, threshold)
-    last = written(links_of(apart, None, False), "links")
+    last = written(_confirmed(apart_pairs(mixed_buckets(shared, found), texts, k, threshold), texts, k, threshold), "links")
     if not last.isEmpty():
         found = written(components(links.unionByName(last)), "components")
-    # a class reaches what its representative reaches; an id with several sets joins their classes
-    of_class = classes.select("digest", F.col("n_shingles").alias("_n"), "rep").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", "_n", F.coalesce("component", "rep").alias("_component"))
-    out = rows.join(of_class, (rows["digest"] == of_class["digest"]) & (rows["n_shingles"] == of_class["_n"]), "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("_component", "id")).alias("component_id"))
+    # a class reaches what its representative reaches
+    of_class = classes.select("digest", F.col("n_shingles").alias("_n"), "rep").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", "_n", F.coalesce("component", "rep")["id"].alias("_component"))
+    out = rows.join(of_class, (rows["digest"] == of_class["digest"]) & (rows["n_shingles"] == of_class["_n"]), "left").select(F.col("key.id").alias("id"), "n_shingles", F.when(F.col("key.id").isNotNull(), F.coalesce("_component", "key.id")).alias("component_id"))
     kind = docs.schema[id_col].dataType.simpleString()
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
