@@ -164,3 +164,32 @@ def test_broken_archives_are_refused(harm):
 
 def test_no_pages(spark):
     assert warc.round_trip(pages(spark)[1].where("false")).collect() == []
+
+
+def test_packed_ids_are_the_librarys_for_odd_strings():
+    """Letters that stop being letters when they are lower-cased or composed, marks, contractions and special strings, alone and before punctuation."""
+    import random
+
+    import pyarrow as pa
+
+    from tidemark.llm import packing
+    from tidemark.llm.llm_queries import vocabulary
+
+    own, r = packing.encoder(vocabulary("word_bpe_49k.json")), random.Random(3)
+    letters = "aAbZéÉİıßΣσςЖджאबक़ﬁ日本1²Ⅷ’'́̇.,!?;:|%&$*#-_ \t\n 　🙂ǅʰ"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(20_000)] + ["RAKİ, su", "<|endoftext|>. x<|startoftext|>y", "we'll don't", "", None, "İ! İ? क़!"]
+    ids, ends = own.encode(pa.array(texts))
+    want = own.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert len(ends) == len(texts) + 1
+    for t, a, b, w in zip(texts, ends, ends[1:], want, strict=False):
+        assert ids[a:b].tolist() == w.ids, t
+
+
+def test_a_file_with_other_rules_is_refused():
+    import pytest
+
+    from tidemark.llm import packing
+    from tidemark.llm.llm_queries import vocabulary
+
+    with pytest.raises(ValueError):
+        packing.WordEncoder(vocabulary("byte_bpe_50k.json"))

@@ -55,10 +55,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words [^\\x20\\x09-\\x0D]+ of a batch, the words of all texts end to end as places in that list, and the n + 1 offsets of the texts.
+def split_coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words [^\\x20\\x09-\\x0D]+ of a batch, the words of all texts end to end as places among them, and the n + 1 offsets of the texts.
 
-    Null and empty texts have no words."""
+    Null and empty texts have no words. An empty word may be among the distinct ones, but no text has it."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -66,13 +66,19 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     ends = lists.offsets.to_numpy()
     coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
     ends = ends.astype(np.int64) - int(ends[0])
-    names = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy(zero_copy_only=False)
-    if "" in names:  # the split leaves an empty word before or after white space at a text's ends
-        keep = index != names.index("")
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # the split leaves an empty word before or after white space at a text's ends
+        keep = index != empty
         ends = np.concatenate(([0], np.cumsum(keep)))[ends]
         index = index[keep]
-    return names, index, ends
+    return coded.dictionary, index, ends
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """split_coded with the distinct words as a list."""
+    names, index, ends = split_coded(texts)
+    return names.to_pylist(), index, ends
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -7,20 +7,23 @@ sequence ends up full. Every task packs the rows of its own partition as they st
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import slices, split_coded
 
 POOL = 768  # examples that wait in a task; more of them pad less and take longer
-KEPT_WORDS = 600_000  # words whose ids a worker keeps; all are dropped when that many are there
+KEPT_PARTS, KEPT_BYTES = 600_000, 64 << 20  # parts of words whose ids a worker keeps, and their bytes; all are dropped when there are more
+TAIL = ".,!?;:|%&$*#"  # punctuation that follows a word's letters
 
 
 class Packer:
@@ -98,67 +101,87 @@ class Packer:
         return out
 
 
+def one_piece(head: str) -> bool:
+    """Whether the tokenizer certainly makes one piece of letters: of alphabets that have been settled for long, which stay letters when they are composed and lower-cased."""
+    plain = unicodedata.normalize("NFC", head)
+    return plain.isalpha() and max(plain) < "\u0590" and plain.lower().isalpha()
+
+
+def segments(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of flat, end to end."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)]
+
+
 class WordEncoder:
-    """Token ids of texts under a word-level BPE file, as little-endian 32-bit bytes.
+    """Token ids of texts under a word-level BPE file.
 
-    Its tokens never cross ASCII white space, so each distinct word is encoded once; letters followed by ASCII
-    punctuation are two pieces to the tokenizer, so they are looked up apart."""
+    Its tokens never cross ASCII white space, so each distinct word of a batch is encoded once; letters followed by
+    ASCII punctuation are two pieces to the tokenizer, so the two parts are looked up apart. A file with other rules is refused."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> None:
-        """Letters go through the library together, as a text of many words; each is one piece there."""
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
+        self.kept = 0
+        probe = "Letters, caf\u00e9. \u0130!? 12%x \u0915\u093c! don't <|endoftext|>. \u039f\u0394\u039f\u03a3. a\u00a0b,c"
+        ids, _ = self.encode(pa.array([probe]))
+        if ids.tolist() != self.library.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path} does not part words at white space, or letters from punctuation")
+
+    def _together(self, heads: list[str]) -> list[bytes]:
+        """Letters go through the library as a text of many words; each is one piece there."""
+        out = []
+        for i in range(0, len(heads), 4096):
+            some = heads[i : i + 4096]
             made = self.library.encode(" ".join(some), add_special_tokens=False)
             ids, places = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
             cuts = np.flatnonzero(np.diff(places)) + 1
-            if len(cuts) + 1 == len(some):
-                ends = [0, *(4 * cuts).tolist(), 4 * len(ids)]
-                data = ids.tobytes()
-                self.parts.update(zip(some, (data[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-            else:
-                self._one_by_one(some)
+            if len(cuts) + 1 != len(some):
+                raise ValueError("letters without white space are not one piece each")
+            ends, data = [0, *(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
+            out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
 
-    def _one_by_one(self, parts: list[str]) -> None:
-        for part, made in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(made.ids, "<u4").tobytes()
+    def _one_by_one(self, parts: list[str]) -> list[bytes]:
+        return [np.array(m.ids, "<u4").tobytes() for m in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) > KEPT_WORDS or len(self.parts) > KEPT_WORDS:
-            self.words.clear()
-            self.parts.clear()
-        known, split = self.parts, {}
-        for w in words:
-            if w not in self.words:
-                head = w.rstrip(".,!?;:|%&$*#")
-                if head.isalpha():
-                    split[w] = (head.lower() if "Σ" not in head and "İ" not in head else head), w[len(head) :]
-                else:
-                    split[w] = "", w
-        self._encode([p for p in {a for a, _ in split.values()} if p and p not in known])
-        self._one_by_one([p for p in {b for _, b in split.values()} if p and p not in known])
-        known[""] = b""
-        for w, (a, b) in split.items():
-            self.words[w] = known[a] + known[b]
+    def _ids(self, parts: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts end to end, and the size of each."""
+        missing = [p for p in parts if p not in self.parts]
+        if missing:
+            made = encode(missing)
+            self.parts.update(zip(missing, made, strict=True))
+            self.kept += sum(map(len, missing)) + sum(map(len, made))
+        own = [self.parts[p] for p in parts]
+        return np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the n + 1 offsets of the texts."""
-        names, index, ends = split_words(texts)
-        self.learn(names)
-        own = [self.words[w] for w in names]
-        flat = np.frombuffer(b"".join(own), "<u4")
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[index]
-        after = np.concatenate(([0], np.cumsum(lengths)))
-        places = np.arange(after[-1]) + np.repeat(starts[index] - after[:-1], lengths)
-        return flat[places], after[ends]
+        if len(self.parts) > KEPT_PARTS or self.kept > KEPT_BYTES:
+            self.parts.clear()
+            self.kept = 0
+        names, index, ends = split_coded(texts)
+        heads = pc.utf8_rtrim(names, characters=TAIL)
+        plain = pc.string_is_ascii(heads)
+        good = pc.and_(plain, pc.ascii_is_alpha(heads))
+        other = pc.and_(pc.invert(plain), pc.utf8_is_alpha(heads))
+        coded = heads.filter(other).dictionary_encode()
+        fine = np.zeros(len(heads), bool)
+        fine[np.flatnonzero(other.to_numpy(zero_copy_only=False))] = np.array([one_piece(h) for h in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy()]
+        whole = pc.invert(pc.or_(good, pa.array(fine)))
+        heads = pc.if_else(whole, "", pc.if_else(plain, pc.ascii_lower(heads), heads)).dictionary_encode()
+        tails = pc.struct_field(pc.extract_regex(names, pattern=f"(?P<tail>[{TAIL}]*)$"), "tail").cast(names.type)
+        tails = pc.if_else(whole, names, pc.fill_null(tails, "")).dictionary_encode()
+        self.parts.setdefault("", b"")
+        (one, n_one), (two, n_two) = self._ids(heads.dictionary.to_pylist(), self._together), self._ids(tails.dictionary.to_pylist(), self._one_by_one)
+        start_one, start_two = np.cumsum(n_one) - n_one, np.cumsum(n_two) - n_two + len(one)
+        h, t = heads.indices.to_numpy(), tails.indices.to_numpy()
+        starts, sizes = (np.stack(x, 1).ravel() for x in ((start_one[h], start_two[t]), (n_one[h], n_two[t])))
+        words, lengths = segments(np.concatenate((one, two)), starts, sizes), sizes[::2] + sizes[1::2]
+        begin, lengths = (np.cumsum(lengths) - lengths)[index], lengths[index]
+        return segments(words, begin, lengths), np.concatenate(([0], np.cumsum(lengths)))[ends]
 
 
 @lru_cache(maxsize=2)
