@@ -146,3 +146,52 @@ def test_null_and_blank_keys_agree(spark):
     b = spark.createDataFrame([("", 1.0)], "k string, m double")
     assert quality.reconcile(a, b, ["k"], {"m": quality.EXACT}).count() == 0
     assert quality.reconcile_missing(a, b, ["k"]).count() == 0
+
+
+def test_null_keys_keep_their_partner(spark):
+    """A group with a null key has its sum on every day, and is no finding when a table is compared with itself."""
+    from tidemark.operators import impact, measures, query
+
+    rows = spark.createDataFrame([("a", "2024-01-01", 5.0), (None, "2024-01-01", 7.0), ("a", "2024-01-02", 1.0)], "k string, d string, v double").select("k", F.to_date("d").alias("as_of_date"), "v")
+    made = measures.series(rows, [measures.Measure("total", "sum", "v")], ["k"])
+    assert {(r["k"], r["as_of_date"].day): r["total"] for r in made.collect()} == {("a", 1): 5, ("a", 2): 1, (None, 1): 7, (None, 2): 0}
+    breaches = rows.select(F.lit("t").alias("threshold_id"), "k", "as_of_date", F.col("v").alias("delta"))
+    assert impact.impact_breaches(breaches, breaches, ["k"]).collect() == []
+    rates = rows.select("k", F.col("v").alias("rate"), F.lit("c").alias("citation")).where("rate > 2")
+    assert impact.impact_rates(rates, rates, ["k"]).collect() == []
+    one = rows.groupBy("k").agg(F.sum("v").alias("value"))
+    assert {r["k"]: r["other"] for r in query.compare(one, one, ["k"]).collect()} == {"a": 6.0, None: 7.0}
+
+
+def test_overlapping_versions_are_refused(spark):
+    from tidemark.operators import rules
+
+    versions = lambda last: spark.createDataFrame([(1, "2024-01-01", last), (2, "2024-03-01", None)], "version int, f string, t string").select("version", F.to_date("f").alias("effective_from"), F.to_date("t").alias("effective_to"))
+    rows = spark.createDataFrame([("2024-03-02",)], "d string").select(F.to_date("d").alias("d"))
+    assert rules.join_in_force(rows, versions("2024-03-01"), "d").first()["version"] == 2
+    for last in ("2024-03-02", None):
+        with pytest.raises(ValueError):
+            rules.join_in_force(rows, versions(last), "d")
+
+
+def test_a_long_chain_of_dependents(spark):
+    n = 1000
+    edges = spark.range(n).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    got = history.closure(edges)
+    assert got.count() == n * (n + 1) // 2
+    assert got.where("depth <> cast(target as int) - cast(source as int)").isEmpty()
+
+
+def test_columns_that_rules_branch_on():
+    from tidemark.operators.rules import Rule, rule_columns
+
+    rules = [Rule("a", "x = 'y' and z > 1", "1"), Rule("b", "y is null or x in ('z', 'it''s w')", "2"), Rule("c", "w", "3")]
+    assert rule_columns(rules, ["w", "x", "y", "z"]) == ["x", "z", "y", "w"]
+    assert rule_columns(rules, ["w", "x", "y", "z"], 2) == ["x", "z"]
+
+
+def test_entries_that_are_no_numbers(spark):
+    from tidemark.operators.rules import unreadable_rates
+
+    rates = spark.createDataFrame([("a", "0.5"), ("b", "half"), ("c", None)], "k string, rate string")
+    assert sorted(r["k"] for r in unreadable_rates(rates, "rate").collect()) == ["b", "c"]

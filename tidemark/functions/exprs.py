@@ -109,3 +109,18 @@ def formatted(value: Column, fmt: str) -> Column:
 def between_effective(day: Column, start: Column, end: Column) -> Column:
     """In force on a day: [start, end), an open end never ends."""
     return (day >= start) & (end.isNull() | (day < end))
+
+
+def unit_of(fmt: Column) -> Column:
+    """The unit that a measure's format states: percent, USD or number."""
+    return F.when(fmt.rlike(r"^percent_\d+dp$"), "percent").when(fmt.startswith("currency_usd"), "USD").otherwise("number")
+
+
+def precision_of(fmt: Column) -> Column:
+    """The decimals that a measure's format states; 0 unless it is a percentage."""
+    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(fmt, r"^percent_(\d+)dp$", 1), F.lit("")), F.lit("99")).cast("int"), F.lit(0))
+
+
+def denominator_of(expression: Column) -> Column:
+    """The column that a ratio divides by, where its expression names one outright (also within nullif); else null."""
+    return F.nullif(F.regexp_extract(expression, r"(?i)/\s*(?:nullif\s*\(\s*)?([a-z_]\w*)", 1), F.lit(""))

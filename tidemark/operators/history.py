@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import between_effective
+from ..sources.sinks import checkpoints
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
@@ -63,21 +64,20 @@ def stale_pins(board: DataFrame, revisions: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All dependents of each artifact: source, target, least number of steps, up to max_depth of them if it is given.
 
-    The new pairs of each round alone go on; it ends when there are none. Each round is a checkpoint, as plans of rounds
-    within rounds would double with every step."""
-    shared = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    settled = lambda df: df.checkpoint() if shared else df.localCheckpoint()
-    step = settled(edges.select("source", "target").distinct())
-    known = frontier = step.withColumn("depth", F.lit(1))
-    depth = 1
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        ahead = frontier.select("source", F.col("target").alias("_mid")).join(step.withColumnsRenamed({"source": "_mid"}), "_mid").select("source", "target").distinct()
-        frontier = settled(ahead.join(known.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    Paths double with each round: those of exactly as many steps as are known go on by all known ones. Each round is a
+    checkpoint in the shared folder, as plans of rounds within rounds would double too."""
+    checkpoints(edges.sparkSession)
+    known = ahead = edges.select("source", "target").distinct().withColumn("depth", F.lit(1)).checkpoint()
+    reach = 1
+    while max_depth is None or reach < max_depth:
+        onward = known.select(F.col("source").alias("_mid"), "target", F.col("depth").alias("_more"))
+        longer = ahead.select("source", F.col("target").alias("_mid"), "depth").join(onward, "_mid").groupBy("source", "target").agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
+        new = longer.join(known.select("source", "target"), ["source", "target"], "left_anti").checkpoint()
+        if new.isEmpty():
             break
-        known = known.unionByName(frontier)
-    return known
+        known, reach = known.unionByName(new), 2 * reach
+        ahead = new.where(F.col("depth") == reach)
+    return known if max_depth is None else known.where(F.col("depth") <= max_depth)
 
 
 def activity_metrics(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_keys
 from .rules import UNMAPPED
 
 DAY = "as_of_date"
@@ -16,7 +17,7 @@ def impact_breaches(before: DataFrame, after: DataFrame, grain: Sequence[str]) -
     """Breaches silenced and added for each threshold: how many, on how many series, and the largest move among them."""
     on = ["threshold_id", *grain, DAY]
     key = F.struct(*grain)
-    side = lambda a, b, name: a.join(b.select(*on), on, "left_anti").groupBy("threshold_id").agg(F.count("*").alias("breaches"), F.countDistinct(key).alias("series"), F.max(F.abs("delta")).cast("double").alias("largest_move")).withColumn("change", F.lit(name))
+    side = lambda a, b, name: join_keys(a, b.select(*on), on, "left_anti").groupBy("threshold_id").agg(F.count("*").alias("breaches"), F.countDistinct(key).alias("series"), F.max(F.abs("delta")).cast("double").alias("largest_move")).withColumn("change", F.lit(name))
     return side(before, after, "silenced").unionByName(side(after, before, "added"))
 
 
@@ -38,7 +39,7 @@ def impact_rates(before: DataFrame, after: DataFrame, keys: Sequence[str], value
     """Rates changed, added or removed; a changed rate under the old citation is marked."""
     a = before.select(*keys, F.col(value).alias("rate_before"), F.col(citation).alias("_c_before"), F.lit(True).alias("_b"))
     b = after.select(*keys, F.col(value).alias("rate_after"), F.col(citation).alias("_c_after"), F.lit(True).alias("_a"))
-    both = a.join(b, list(keys), "full_outer")
+    both = join_keys(a, b, list(keys), "full_outer")
     change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(~F.col("rate_before").eqNullSafe(F.col("rate_after")), "changed")
     out = both.withColumns({"change": change, "uncited": (change == "changed") & F.col("_c_before").eqNullSafe(F.col("_c_after"))})
     return out.where("change is not null").select(*keys, "rate_before", "rate_after", "change", "uncited")
@@ -62,7 +63,7 @@ def impact_measures(before: DataFrame, after: DataFrame, relative: float = 1e-9)
     a, b = before.select("name", F.col("value").alias("value_before")), after.select("name", F.col("value").alias("value_after"))
     x, y = F.col("value_before"), F.col("value_after")
     change = F.when(x.isNull() & y.isNotNull(), "appeared").when(x.isNotNull() & y.isNull(), "vanished").when(F.abs(x - y) > relative * F.greatest(F.abs(x), F.abs(y)), "moved")
-    return a.join(b, "name", "full_outer").withColumn("change", change).where("change is not null")
+    return join_keys(a, b, ["name"], "full_outer").withColumn("change", change).where("change is not null")
 
 
 def impact_summary(findings: Sequence[tuple[str, int, bool, DataFrame]]) -> DataFrame:

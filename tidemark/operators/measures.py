@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cents
+from .keys import join_keys
 
 DAY = "as_of_date"
 
@@ -74,7 +75,7 @@ def spine(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def series(df: DataFrame, measures: Sequence[Measure], keys: Sequence[str] = ()) -> DataFrame:
     """Measures for each day and key, on every day of the range; sums and counts over nothing are 0, others null."""
     made = aggregate(df, measures, [*keys, DAY])
-    full = spine(df, keys).join(made, [*keys, DAY], "left")
+    full = join_keys(spine(df, keys), made, [*keys, DAY])
     return full.withColumns({m.name: F.coalesce(m.name, F.lit(0)) for m in measures if m.agg in ("sum", "count")})
 
 

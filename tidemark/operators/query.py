@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapters import scan_trailing
+from .keys import join_keys
 from .measures import Measure
 
 DAY = "as_of_date"
@@ -40,10 +41,10 @@ def conditions(filters: Sequence[tuple[str, str, object]]) -> Column:
 
 
 def _two_days(view: DataFrame, as_of: str | None, basis: str) -> DataFrame:
-    """Rows of the as-of day and its prior, marked _now."""
-    days = resolve_as_of(calendar(view), as_of).select(F.col(DAY).alias("_now"), F.col(basis).alias("_prior"))
-    both = view.join(F.broadcast(days), (F.col(DAY) == F.col("_now")) | (F.col(DAY) == F.col("_prior")))
-    return both.withColumns({"_is_now": F.col(DAY) == F.col("_now")}).withColumnRenamed("_now", "_as_of").drop("_prior")
+    """Rows of the as-of day and its prior, marked _is_now. The two days are looked up first, so that they prune partitions."""
+    found = resolve_as_of(calendar(view), as_of).select(F.col(DAY), F.col(basis)).first() or (None, None)
+    now, prior = (F.lit(d).cast("date") for d in found)
+    return view.where((F.col(DAY) == now) | (F.col(DAY) == prior)).withColumns({"_is_now": F.col(DAY) == now, "_as_of": now})
 
 
 def _value(measure: Measure, now: bool) -> Column:
@@ -83,7 +84,7 @@ def check_groups(view: DataFrame, dims: Sequence[str], most: int = 50_000) -> No
 
 def compare(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """A value beside another measure's: columns value and other."""
-    return left.join(right.withColumnRenamed("value", "other"), list(on), "left")
+    return join_keys(left, right.withColumnRenamed("value", "other"), list(on))
 
 
 def adhoc(left: DataFrame, right: DataFrame, on: Sequence[str], op: str) -> DataFrame:

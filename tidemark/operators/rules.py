@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import between_effective, case_value
@@ -128,6 +129,12 @@ def migration(df: DataFrame, before: Sequence[Rule], after: Sequence[Rule], noti
     return grouped.select(F.coalesce("_a", F.lit(UNMAPPED)).alias("from_value"), F.coalesce("_b", F.lit(UNMAPPED)).alias("to_value"), "records", "notional")
 
 
+def rule_columns(rules: Sequence[Rule], columns: Sequence[str], most: int = 4) -> list[str]:
+    """The columns that a rule set branches on, in the order it names them: strata that keep rare combinations in a sample. The first few, as each one multiplies the strata."""
+    named = [w for r in rules for w in re.findall(r"\w+", re.sub(r"'(?:[^']|'')*'", " ", r.when))]
+    return [c for c in dict.fromkeys(named) if c in columns][:most]
+
+
 def duplicate_keys(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lookup keys that are listed more than once."""
     return rates.groupBy(*keys).agg(F.count("*").alias("entries")).where("entries > 1")
@@ -150,8 +157,19 @@ def rate_misses(df: DataFrame, rates: DataFrame, keys: Sequence[str]) -> DataFra
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("records")).join(rates.select(*keys), list(keys), "left_anti")
 
 
+def overlapping(versions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Versions that begin before an earlier one of their key has ended."""
+    earlier = Window.partitionBy(*keys).orderBy("effective_from", "effective_to").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.coalesce(F.col("effective_to").cast("date"), F.to_date(F.lit("9999-12-31")))).over(earlier)
+    return versions.withColumn("_ended", ended).where(F.col("_ended") > F.col("effective_from").cast("date")).drop("_ended")
+
+
 def join_in_force(df: DataFrame, versions: DataFrame, date_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Each row with the version in force on its own date; [effective_from, effective_to). Without a version, nulls."""
+    """Each row with the version in force on its own date; [effective_from, effective_to). Without a version, nulls.
+
+    Versions of a key that overlap are refused, as they would multiply rows."""
+    if not overlapping(versions, keys).isEmpty():
+        raise ValueError("versions overlap" + (f" for a key of {', '.join(keys)}" if keys else ""))
     v = versions.alias("v")
     on = between_effective(F.col(date_col), F.col("v.effective_from"), F.col("v.effective_to"))
     for k in keys:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import history as H
 from ..operators import quality as K
 from ..operators import rules as C
@@ -74,6 +75,20 @@ def dup_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("stratified_sample", f"with {POSITIONS}, r as (select *, row_number() over (partition by segment, direction order by md5(concat_ws('|', pos_key, balance_usd::varchar)), pos_key, balance_usd) as n from positions) select pos_key, segment, direction, balance_usd::double as balance from r where n <= 5")(
     lambda s, d: K.stratified_sample(positions(s, d), ["segment", "direction"], 5, ["pos_key", "balance_usd"]).select("pos_key", "segment", "direction", F.col("balance_usd").cast("double").alias("balance"))
 )
+_strata = ["direction", "segment", "insured_flag", "account_type"]
+query("strata_sample", f"with {POSITIONS}, r as (select *, row_number() over (partition by {', '.join(_strata)} order by md5(concat_ws('|', pos_key, balance_usd::varchar)), pos_key, balance_usd) as n from positions) select pos_key, {', '.join(_strata)}, balance_usd::double as balance from r where n <= 3")(
+    lambda s, d: (lambda p: K.stratified_sample(p, C.rule_columns(RULES, p.columns), 3, ["pos_key", "balance_usd"]).select("pos_key", *_strata, F.col("balance_usd").cast("double").alias("balance")))(positions(s, d))
+)
+
+_FORMATS = "case o_orderstatus when 'F' then 'percent_2dp' when 'O' then 'currency_usd_mm' when 'P' then 'bps' end"
+_EXPRESSIONS = "case when o_orderkey % 3 = 0 then '100 * total / nullif(base_' || o_custkey || ', 0)' when o_orderkey % 3 = 1 then 'sum_a /  Base_' || o_custkey else 'sum_a - sum_b' end"
+query("metric_contract", f"""with m as (select o_orderkey as metric, {_FORMATS} as format, {_EXPRESSIONS} as expression from orders)
+select metric, case when format like 'percent%' then 'percent' when format like 'currency_usd%' then 'USD' else 'number' end as unit,
+  case when format like 'percent%' then 2 else 0 end::int as "precision", nullif(regexp_extract(expression, '/[ ]*(?:nullif[(])?([A-Za-z_][A-Za-z0-9_]*)', 1), '') as denominator from m""")(
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("metric"), F.expr(_FORMATS).alias("format"), F.expr(_EXPRESSIONS).alias("expression")).select(
+        "metric", X.unit_of(F.col("format")).alias("unit"), X.precision_of(F.col("format")).alias("precision"), X.denominator_of(F.col("expression")).alias("denominator")
+    )
+)
 _dim = lambda c, kind, ordered: f"select '{c}' as name, '{kind}' as type, {ordered} as is_ordered, case when count(distinct {c}) <= 8 then count(distinct {c}) end as n_values, case when count(distinct {c}) <= 8 then string_agg(distinct {c}::varchar, ',' order by {c}::varchar) end as value_list from p"
 query("dim_profile", f"with {POSITIONS}, p as (select entity_id, is_secured, {BUCKET} as maturity_bucket, as_of_date, balance_usd from positions) " + " union all ".join(_dim(*x) for x in (("entity_id", "text", "false"), ("is_secured", "boolean", "false"), ("maturity_bucket", "text", "true"), ("as_of_date", "date", "false"), ("balance_usd", "number", "false"))))(
     lambda s, d: K.dim_profile(prepared(positions(s, d)).select("entity_id", "is_secured", "maturity_bucket", "as_of_date", "balance_usd"), 8, ["maturity_bucket"])
@@ -135,8 +150,8 @@ query("ahead_of_release", f"with {REV}, {PINS}, dep as (select name, body from p
 query("stale_pins", f"with {REV}, {PINS}, b as (select right(name, 1) as board, 'i' || t.i::varchar as item, name, revision_no from pins, (values (1), (2)) t(i)) select board, b.name, l.revision_no as latest_no, string_agg(distinct item, ',' order by item) as items from b join latest l on l.name = b.name where b.revision_no < l.revision_no group by all")(
     lambda s, d: H.stale_pins(_pins(s, d).select(F.substring("name", -1, 1).alias("board"), F.explode(F.array(F.lit("i1"), F.lit("i2"))).alias("item"), "name", "revision_no"), revisions(s, d))
 )
-query("lineage_closure", "with recursive e as (select distinct 's' || (c_custkey % 400)::varchar as source, 's' || ((c_custkey % 400) * 3 + 1)::varchar as target from customer), r as (select source, target, 1 as depth from e union select r.source, e.target, depth + 1 from r join e on r.target = e.source where depth < 12) select source, target, min(depth)::int as depth from r group by 1, 2")(
-    lambda s, d: (lambda n: H.closure(s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("s"), n.cast("string")).alias("source"), F.concat(F.lit("s"), (n * 3 + 1).cast("string")).alias("target"))))(F.col("c_custkey") % 400)
+query("lineage_closure", "with recursive e as (select distinct 's' || c_custkey::varchar as source, 's' || (c_custkey * 3 + 1)::varchar as target from customer), r as (select source, target, 1 as depth from e union select r.source, e.target, depth + 1 from r join e on r.target = e.source where depth < 40) select source, target, min(depth)::int as depth from r group by 1, 2")(
+    lambda s, d: (lambda n: H.closure(s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("s"), n.cast("string")).alias("source"), F.concat(F.lit("s"), (n * 3 + 1).cast("string")).alias("target"))))(F.col("c_custkey"))
 )
 query(
     "activity_metrics",

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators.measures import Measure, derive, series
 from ..sources import adapters, sinks
+from ..sources.sinks import scratch
 from .fixtures import ACTIVITY, BINDING, BUCKET, FILED, LADDER, POSITIONS, activity, filed, foreign_positions, positions
 from .registry import query, values
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table: in the shared folder of the session, or a temporary one where it names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemark-')}/{name}-{uuid.uuid4().hex}"
-
-
 DAY, PERIOD = "1997-03-14", "1997"
 
 query("scan_as_of", f"with {POSITIONS} select pos_key, entity_id, balance_usd::double as balance_usd from positions where as_of_date = date '1997-03-14'")(
@@ -78,15 +71,15 @@ query("adapter", f"with {POSITIONS} select segment, direction, collateral_class,
 @query(
     "partition_overwrite",
     f"""with {FILED} select product_id, maturity_bucket, currency, entity_id, as_of_date, case when as_of_date = date '1997-03-14' then gross_outflow::double + 1 else gross_outflow::double end as gross_outflow
-from filed where as_of_date >= date '1997-03-01' and as_of_date < date '1997-04-01'""",
+from filed""",
 )
 def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File a month, file one day of it again with other numbers, read all of it back."""
+    """File all days, file one day again with other numbers, read all of it back."""
     path = scratch(spark, "filed")
-    month = filed(spark, sf_dir).where("as_of_date >= '1997-03-01' and as_of_date < '1997-04-01'").select("product_id", "maturity_bucket", "currency", "entity_id", "as_of_date", F.col("gross_outflow").cast("double").alias("gross_outflow"))
-    sinks.write_partitions(month, path, ["as_of_date"])
-    sinks.write_partitions(adapters.scan_as_of(month, DAY).withColumn("gross_outflow", F.col("gross_outflow") + 1), path, ["as_of_date"])
-    return spark.read.schema(month.schema).parquet(path)
+    days = filed(spark, sf_dir).select("product_id", "maturity_bucket", "currency", "entity_id", "as_of_date", F.col("gross_outflow").cast("double").alias("gross_outflow"))
+    sinks.write_partitions(days, path, ["as_of_date"])
+    sinks.write_partitions(adapters.scan_as_of(days, DAY).withColumn("gross_outflow", F.col("gross_outflow") + 1), path, ["as_of_date"])
+    return spark.read.schema(days.schema).parquet(path)
 
 
 @query("append_sink", "select event_type, count(*) * 2 as n from events group by 1")
@@ -116,8 +109,8 @@ _count("filter_bool", "not (direction = 'OUTFLOW' or is_secured) and insured_fla
 _count("filter_in", "segment in ('RETAIL', 'WHOLESALE') and account_type not in ('TIME')")
 _count("filter_null", "segment is null and maturity_date is not null")
 
-query("expr_arith", f"with {POSITIONS} select pos_key, -(balance_usd * 2 + 10.5)::double as a, (balance_usd - 3)::double / nullif((case when insured_flag then 0 else 4 end)::double, 0) as b from positions where as_of_date = date '1997-03-14'")(
-    lambda s, d: adapters.scan_as_of(positions(s, d), DAY).select("pos_key", (-(F.col("balance_usd") * 2 + F.lit(10.5).cast("decimal(4,1)"))).cast("double").alias("a"), X.safe_div(F.col("balance_usd") - 3, F.when(F.col("insured_flag"), 0).otherwise(4)).alias("b"))
+query("expr_arith", f"with {POSITIONS} select pos_key, -(balance_usd * 2 + 10.5)::double as a, (balance_usd - 3)::double / nullif((case when insured_flag then 0 else 4 end)::double, 0) as b from positions")(
+    lambda s, d: positions(s, d).select("pos_key", (-(F.col("balance_usd") * 2 + F.lit(10.5).cast("decimal(4,1)"))).cast("double").alias("a"), X.safe_div(F.col("balance_usd") - 3, F.when(F.col("insured_flag"), 0).otherwise(4)).alias("b"))
 )
 
 OPERANDS = "(values (1, 5.0::double, 3.0::double), (2, null, 3.0), (3, 5.0, null), (4, -2.5, 0.0), (5, null, null), (6, 0.0, 0.0)) v(i, x, y)"
@@ -140,8 +133,8 @@ query("expr_minmax", _operand_sql("case when x is null or y is null then null el
 query("expr_nulls", _operand_sql("nullif(x, y) as a, coalesce(x, y, n::double) as b, abs(x) as c"))(
     lambda s, d: _operands(s, d).select("l_linenumber", "i", F.nullif("x", "y").alias("a"), F.coalesce("x", "y", F.col("n").cast("double")).alias("b"), F.abs("x").alias("c"))
 )
-query("expr_round", f"with {POSITIONS} select pos_key, round(balance_usd, 1)::double as r, floor(balance_usd)::bigint as f, ceil(balance_usd)::bigint as c from positions where as_of_date = date '1997-03-14'")(
-    lambda s, d: adapters.scan_as_of(positions(s, d), DAY).select("pos_key", F.round("balance_usd", 1).cast("double").alias("r"), F.floor("balance_usd").cast("long").alias("f"), F.ceil("balance_usd").cast("long").alias("c"))
+query("expr_round", f"with {POSITIONS} select pos_key, round(balance_usd, 1)::double as r, floor(balance_usd)::bigint as f, ceil(balance_usd)::bigint as c from positions")(
+    lambda s, d: positions(s, d).select("pos_key", F.round("balance_usd", 1).cast("double").alias("r"), F.floor("balance_usd").cast("long").alias("f"), F.ceil("balance_usd").cast("long").alias("c"))
 )
 CASES = [("balance_usd > 50000 and direction = 'OUTFLOW'", "3"), ("segment = 'RETAIL'", "2"), ("insured_flag", "1")]
 _case_sql = "case when balance_usd > 50000 and direction = 'OUTFLOW' then {0} when segment = 'RETAIL' then {1} when insured_flag then {2} "

@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. A session on one machine may name none and gets a temporary one; on a cluster that is refused."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.sharedDir", None)
+    if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.tidemark.sharedDir", known)
+    return known
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def partition_keys(grouping: Sequence[str], partition_by: Sequence[str]) -> list[str]:
@@ -13,10 +38,12 @@ def partition_keys(grouping: Sequence[str], partition_by: Sequence[str]) -> list
 
 
 def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
-    """Overwrite only the partitions that the result has; a new table is laid out by the result's own schema."""
+    """Overwrite only the partitions that the result has; a new table is laid out by the result's own schema.
+
+    Rows are brought together by partition, and a partition with many of them is split over tasks."""
     if missing := [c for c in by if c not in df.columns]:
         raise ValueError(f"the result lacks partition columns {', '.join(missing)}")
-    df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode("overwrite").parquet(path)
+    df.hint("rebalance", *by).write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode("overwrite").parquet(path)
 
 
 def write_append(df: DataFrame, path: str) -> None:

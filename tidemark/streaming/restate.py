@@ -21,19 +21,19 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def restate(stream: DataFrame, log: str, table: str, checkpoint: str, keys: Sequence[str], amounts: Sequence[str], day: str = "as_of_date", lateness: str = "3650 days") -> None:
+def restate(stream: DataFrame, log: str, table: str, checkpoint: str, keys: Sequence[str], amounts: Sequence[str], day: str = "as_of_date") -> None:
     """Append each batch to a log and file the days that it touches again, from all of their rows; other days stay as they are.
 
-    A batch that runs twice after a failure is written to the same place of the log, so nothing counts twice."""
+    The log is laid out by day, so a batch reads the days that it touches, however long the log has grown; rows may come
+    as late as they like. A batch that runs twice after a failure is written to the same place, so nothing counts twice."""
 
     def once(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        touched = spark.read.schema(batch.schema).parquet(f"{log}/batch={number}").select(day).distinct()
-        rows = spark.read.schema(batch.schema).option("basePath", log).parquet(f"{log}/batch=*")
-        days = rows.join(touched, day, "left_semi")
+        batch.withColumn("_batch", F.lit(number)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day, "_batch").parquet(log)
+        rows = spark.read.schema(batch.withColumn("_batch", F.lit(0)).schema).parquet(log)
+        touched = [r[0] for r in rows.where(F.col("_batch") == number).select(day).distinct().collect()]  # days, not rows
+        days = rows.where(F.col(day).isin(touched)) if touched else rows.limit(0)
         made = days.groupBy(*keys, day).agg(*[F.sum(a).cast("decimal(38,4)").alias(a) for a in amounts], F.count("*").alias("records"))
         write_partitions(made, table, [day])
 
-    timed = stream.withColumn("_at", F.col(day).cast("timestamp")).withWatermark("_at", lateness).drop("_at")
-    timed.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
