@@ -193,3 +193,19 @@ def test_a_file_with_other_rules_is_refused():
 
     with pytest.raises(ValueError):
         packing.WordEncoder(vocabulary("byte_bpe_50k.json"))
+
+
+def test_a_large_archive_is_read_in_linear_time():
+    import time
+
+    from tidemark.llm import warc
+
+    def seconds(n):
+        records = [warc.build_record(i, f"http://x/{i}", b"%d " % i * 40, "0", None) for i in range(n)]
+        data = warc.build_archive(records)
+        start = time.time()
+        assert [r for _, r in warc.frames(data)] == records
+        return time.time() - start
+
+    seconds(2_000)
+    assert seconds(40_000) < 40 * seconds(4_000) + 2

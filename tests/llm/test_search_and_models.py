@@ -212,3 +212,34 @@ def test_quality_of_awkward_texts(spark, docs, no_docs):
     rows = quality.classify(docs, weights).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert quality.classify(no_docs, quality.fit(no_docs, labels)).collect() == []
+
+
+def test_null_ids_take_no_part_in_a_search(spark):
+    from tidemark.llm import topk
+
+    big = 2**53 + 1
+    rows = [(None, [1.0, 1.0]), (big, [1.0, 0.0]), (big + 1, [0.5, 0.5]), (50, [1.0, 0.25]), (50, [1.0, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("id") == 50, k=5).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, big, 256 * 256), (2, big + 1, 128 * 256 + 128 * 64)]
+
+
+def test_letters_of_large_alphabets_tell_languages_apart():
+    from tidemark.llm import langid
+
+    r = random.Random(4)
+    letters = {"x": range(0x4E00, 0x4E00 + 900), "y": range(0x4E00 + 900, 0x4E00 + 1800)}
+    text = lambda n, size: "".join(chr(r.choice(letters[n])) for _ in range(size))
+    phrases = {n: [text(n, 4) for _ in range(60)] for n in letters}
+    made = lambda n, k: " ".join(r.choice(phrases[n]) for _ in range(k))
+    own = langid.Languages((("x", made("x", 400)), ("y", made("y", 400))))
+    assert own.predict([made("x", 30), made("y", 30)])[0] == ["x", "y"]
+
+
+def test_an_item_without_id_is_reported(spark):
+    from tidemark.llm import decontam
+
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "so it goes " + item), (2, "nothing of it")], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(None, item), (3, "quite another item of some words")], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, None)]

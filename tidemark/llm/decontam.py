@@ -83,7 +83,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str | None], least: int) -> None:
         values, ends = tokens(pa.array(texts, pa.string()))
-        self.ids, self.least = np.array(ids, np.int64), least
+        self.ids, self.least = list(ids), least
         self.tokens = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         self.sizes = np.diff(ends)
         hashes = window_hashes(values, least)
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thre
                     found = block.match(part.column(1), threshold)
                     row, item, covered, tiles, longest = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else [[]] * 5))
                     sizes = block.sizes[item]
-                    numbers = [pa.array(block.ids[item]), pa.array(sizes, pa.int64()), pa.array(covered), pa.array(covered / np.maximum(sizes, 1)), pa.array(tiles), pa.array(longest)]
+                    numbers = [pa.array([block.ids[i] for i in item.tolist()], pa.int64()), pa.array(sizes, pa.int64()), pa.array(covered), pa.array(covered / np.maximum(sizes, 1)), pa.array(tiles), pa.array(longest)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *numbers], names=names)
 
         found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(find, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 60_000  # of each language: labelled documents at most, and whole documents until there are as many characters
-LETTERS = 94  # letters told apart, the commonest of the samples; other letters match nothing
+LETTERS, SHARED = 62, 32  # letters with a code of their own, the commonest of the samples, and codes that all other letters share, by their number
 CHUNK = 1024  # characters parsed as one lane; a phrase ends where a lane does, in every language alike
 
 
@@ -60,8 +60,10 @@ class Languages:
         texts = {lang: "\n".join(t.lower() for n, t in samples if n == lang) for lang in self.names}
         common = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:LETTERS]
         self.code_of = np.where(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), 0, 1).astype(np.int32)
+        rare = np.flatnonzero(self.code_of == 0)
+        self.code_of[rare] = 2 + LETTERS + rare % SHARED
         self.code_of[[ord(c) for c in common]] = np.arange(2, len(common) + 2)
-        self.width = len(common) + 2
+        self.width = 2 + LETTERS + SHARED
         rows, self.start, self.bits = [{}], [], []
         for lang in self.names:
             steps = suffix_automaton(self.codes(texts[lang]).tolist())
@@ -76,7 +78,7 @@ class Languages:
         self.first = np.where(self.first == 0, np.array(self.start, np.int32)[:, None], self.first)
 
     def codes(self, text: str) -> np.ndarray:
-        """0 for a letter that no sample has, 1 for a run of anything but letters, from 2 on for the samples' letters."""
+        """1 for a run of anything but letters, from 2 on for letters."""
         c = self.code_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         return np.delete(c, np.flatnonzero((c[1:] == 1) & (c[:-1] == 1)) + 1)
 

@@ -153,8 +153,9 @@ def network(weights: tuple[tuple[str, tuple[int, ...], bytes], ...]) -> ByteNetw
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple:
     """Weights learned from a bounded sample of labelled rows: SAMPLE_DOCS of each label and SAMPLE_BYTES of their text at most, whole texts.
 
-    Null texts count as empty. Without labelled rows the network stays as it began."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").dropDuplicates(["_id"])
+    Texts of more than SAMPLE_BYTES // 8 characters are not in the sample, as one would fill it. An id with both labels counts
+    as 0. Null texts count as empty. Without labelled rows the network stays as it began."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     few = bounded_sample(known, "_label", SAMPLE_DOCS, "_id").select("_id", "_label", "_rank")
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where(F.length("_text") <= SAMPLE_BYTES // 8)
     rows = texts.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select("_label", "_rank", "_text").orderBy("_rank", "_label", "_text").limit(4 * SAMPLE_DOCS).collect()  # two labels' ranks bound the sample

@@ -26,7 +26,7 @@ LEADING = 0.25  # share of the coordinates in the first partial sum
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Rows whose vector is there and wholly finite, with components floor(256 * x) as whole numbers."""
     v = F.col(vec_col).cast("array<double>")
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("v is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("v is not null and id is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     return good.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("long")).alias("z")).withColumn("norm", F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
 
     is_query: a Column over id_col. Queries and vectors meet block by block; each query takes its bound from the block
     of the longest vectors first, then meets the others with it. Vectors that are null or hold null or non-finite
-    components take no part; shorter vectors count as padded with zeros; an id's own rows are no candidates; repeated
+    components, and rows with a null id, take no part; shorter vectors count as padded with zeros; an id's own rows are no candidates; repeated
     rows of another id are candidates each, and a query id asks once. Fewer than k candidates give fewer rows. Other columns do not matter."""
     everything = written(usable(vectors, id_col, vec_col).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
     about = everything.agg(F.max(F.size("z")).alias("width"), F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("queries")).first()

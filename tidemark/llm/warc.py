@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +20,7 @@ from .common import written
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SLICE, BATCH_BYTES = 4 << 10, 4 << 20  # of an archive that is given to the decompressor at first, and of payloads in a batch of rows
 ARCHIVE_BYTES = 8 << 20  # payload of one archive at most, or one record
 DICTIONARY_BYTES, DICTIONARY_SAMPLE = 16 << 10, 1 << 20  # size of a dictionary, and of what it is trained on (an archive's first records)
 READ = "archive string, at long, warc_type string, record_id string, target_uri string, refers_to_id string, digest string, payload_bytes long, stored_bytes long, payload binary"
@@ -31,7 +31,7 @@ class WarcError(ValueError):
 
 
 def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>;{page_id}" if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'page:')}>;"
+    return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -88,19 +88,22 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
     """Where each record's frame starts, and the record. Other skippable frames are passed over."""
     own, at = load_dictionary(data)
     press = zstandard.ZstdDecompressor(dict_data=own) if own else zstandard.ZstdDecompressor()
+    view = memoryview(data)
     while at < len(data):
         if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
-        one = press.decompressobj()
+        one, parts, to, size = press.decompressobj(), [], at, SLICE
         try:
-            record = one.decompress(memoryview(data)[at:])
+            while not one.eof and to < len(data):  # slices, so that what follows a frame is not copied with each
+                parts.append(one.decompress(view[to : to + size]))
+                to, size = min(to + size, len(data)), min(2 * size, 1 << 20)
         except zstandard.ZstdError as e:
             raise WarcError(f"no frame at byte {at}: {e}") from e
         if not one.eof:
             raise WarcError(f"the frame at byte {at} is cut short")
-        yield at, record
-        at = len(data) - len(one.unused_data)
+        yield at, b"".join(parts)
+        at = to - len(one.unused_data)
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -189,13 +192,20 @@ def read_archives(archives: DataFrame, name_col: str = "archive", content_col: s
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one archive at a time
-                name, rows = batch.column(0)[i].as_py(), []
+                name, rows, size = batch.column(0)[i].as_py(), [], 0
                 for at, record in frames(batch.column(1)[i].as_py() or b""):
                     fields, block = parse_record(record)
                     payload, full = parse_http(fields, block)
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or hashlib.sha1(payload).hexdigest()
                     rows.append((name, at, fields["warc-type"], fields["warc-record-id"], fields.get("warc-target-uri"), fields.get("warc-refers-to"), digest, full, len(payload), payload if payloads else None))
-                yield pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in rows], schema=schema)
+                    size += 500 + len(payload) * payloads
+                    if size >= BATCH_BYTES:
+                        yield of(rows)
+                        rows, size = [], 0
+                yield of(rows)
+
+    def of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in rows], schema=schema)
 
     columns = [c.split(" ")[0] for c in READ.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -213,7 +223,7 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     One row for each page: page_id, payload_bytes, payload_digest, record_type and refers_to."""
     archives = written(build_archives(pages, least=least), "warc")
-    page = lambda c: F.nullif(F.substring_index(c, ";", -1), F.lit("")).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
     return read_archives(archives, payloads=False).select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("warc_type").alias("record_type"), page(F.col("refers_to_id")).alias("refers_to"), "target_uri"
     )
