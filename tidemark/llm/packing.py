@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, split_coded
 
 POOL = 768  # examples that wait in a task; more of them pad less and take longer
-KEPT_PARTS, KEPT_BYTES = 600_000, 64 << 20  # parts of words whose ids a worker keeps, and their bytes; all are dropped when there are more
+KEPT_PARTS, KEPT_BYTES = 250_000, 32 << 20  # parts of words whose ids a worker keeps, and their bytes; all are dropped when there are more
 TAIL = ".,!?;:|%&$*#"  # punctuation that follows a word's letters
 
 
@@ -242,7 +242,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in slices(batch, 4000, 32 << 20):
+            for part in slices(batch, 2000, 6 << 20):
                 ids, ends = own.encode(part.column(1))
                 pieces = []
                 for doc, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
@@ -250,6 +250,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
                     pieces += packer.add(row, b - a + 1, b - a + 1)
                     row += 1
                 yield of(pieces)
+                del ids, ends
+                pa.default_memory_pool().release_unused()  # a worker is used again by other stages
         if waiting:
             yield of(packer.finish())
 
