@@ -242,7 +242,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: in
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in slices(batch, 2000, 6 << 20):
+            for part in slices(batch, 2000, 2 << 20):
                 ids, ends = own.encode(part.column(1))
                 pieces = []
                 for doc, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
