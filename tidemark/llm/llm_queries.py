@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, topk, warc
+from . import alignment, decontam, langid, line_dedup, near_dedup, packing, quality, simhash, substring_dedup, token_counts, topk, warc, whitening
 from .common import table
 
 
@@ -70,6 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, weights).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, most=4)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -81,6 +96,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_alignment": op11_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {

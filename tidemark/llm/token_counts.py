@@ -30,7 +30,7 @@ KEPT_CHUNKS = 500_000
 KEPT_PAIRS = 2_000_000
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letters that stand for the 256 bytes in a byte-level vocabulary: printable bytes for themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -43,7 +43,7 @@ class PrefixCounter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         special = [t["content"] for t in spec["added_tokens"]]
         as_bytes = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"] if t not in special}
         self.ids = {as_bytes[t]: i for t, i in spec["model"]["vocab"].items() if t in as_bytes}
