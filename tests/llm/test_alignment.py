@@ -1,6 +1,7 @@
 """Alignment against a plain version that uses the other library for the byte-level vocabulary."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -85,6 +86,28 @@ def test_query_over_the_whole_table(spark, sf_dir, libraries):
     assert sorted(map(tuple, got)) == sorted((r["doc_id"], *w[:6], digest(w)) for r, w in zip(docs, want, strict=True))
 
 
+def test_units_are_encoded_as_the_whole_text(libraries):
+    """Texts of odd white space, letters and marks: units join to the text, and their tokens to its tokens in both libraries."""
+    own, model = libraries
+    r = random.Random(4)
+    signs = [" ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "a", "B", "the", "'s", "'ll", "12", ".", ",", "é", "e\u0301", "ß", "汉", "ไ", "🙂", "\u200b", "▁", "\x00", "_"]
+    for _ in range(3000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(1, 14)))
+        units = A.CUT.findall(f" {text}")
+        assert "".join(units) == f" {text}" and all(u[0] == " " for u in units)
+        assert [i for u in units for i in own.encode(u, add_special_tokens=False).ids] == own.encode(f" {text}", add_special_tokens=False).ids
+        assert [i for u in units for i in model.encode(u[1:]) or [model.piece_to_id("▁")]] == model.encode(text), units
+
+
+def test_forgetting_units_changes_nothing(spark, libraries, docs, monkeypatch):
+    own = A.aligner(*FILES)
+    units = A.Units(own, A.pair_index(*FILES))
+    monkeypatch.setattr(A, "KEPT_UNITS", 3)
+    for text in ("a b c d e", "e d c b a", "a\n b"):
+        at, ends = units.of([text, None, ""])
+        assert b";".join(units.groups[i] for i in at) == plain([text], libraries)[0][0][6].encode() and ends.tolist() == [0, len(at), len(at), len(at)]
+
+
 def test_no_rows(no_docs):
     assert A.align(no_docs, *FILES).collect() == []
 

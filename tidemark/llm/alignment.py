@@ -9,8 +9,10 @@ looks its links up. The key that is kept in each place verifies that a pair is t
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,9 @@ from .token_counts import PIECES, byte_letters
 SPACE_MARK = "▁"
 SLICE = 1 << 14  # counts in a row of the tree
 FAN = 32  # vectors that a node of the tree adds up
+#: Units of a text that begins with a space: each goes on to the next space that follows no white space.
+CUT = re.compile(r" \s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?| \s*\Z")
+KEPT_UNITS, KEPT_BYTES = 400_000, 64 << 20  # of units that a worker knows about
 _LEVEL = 0x9E3779B97F4A7C15
 
 
@@ -93,7 +98,9 @@ class PairIndex:
 class Aligner:
     """Both tokenizers: a byte-level vocabulary from a tokenizers .json file, and a sentencepiece model with byte fallback.
 
-    The first is encoded by tiktoken, whose result is the same: merges of a byte-level vocabulary are in the order of ids."""
+    The first is encoded by tiktoken, whose result is the same: merges of a byte-level vocabulary are in the order of ids.
+    A text is cut before each space that follows something else than white space. No piece of either goes over such a
+    place, so both end there, and every unit between is encoded and aligned by itself, once for all its occurrences."""
 
     def __init__(self, bytes_json: str, pieces_model: str) -> None:
         import sentencepiece
@@ -110,11 +117,14 @@ class Aligner:
             self.bytes_a[i] = token
         model = sentencepiece.SentencePieceProcessor(model_file=pieces_model)
         self.encode_b = lambda texts: model.encode(texts, num_threads=1)
+        self.space_b = [model.piece_to_id(SPACE_MARK)]
         self.bytes_b = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             plain = b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE_MARK, " ").encode()
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if model.is_byte(i) else plain)
+            if re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", piece):
+                raise ValueError("a piece of this model goes on over a space, so texts cannot be cut there")
         self.length_a, self.length_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
         # what stands for an id in the text of groups, by what follows it
         names = lambda n, last: [f"{i}{end}" for end in (",", last) for i in range(n)]
@@ -151,45 +161,51 @@ class Aligner:
                     b += ids
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    def align(self, texts: list[str | None]) -> Aligned:
-        """Tokens and groups of each text; a text has no tokens if it is null, empty, or not what either's tokens spell."""
-        some = [i for i, t in enumerate(texts) if t]
-        plain = [f" {texts[i]}" for i in some]
-        ids_a, ids_b = [self.encode_a(t) for t in plain], self.encode_b([texts[i] for i in some])
-        used_a, used_b, sizes = [], [], np.zeros((2, len(texts)), np.int64)
+    def align(self, units: list[str]) -> Aligned:
+        """Tokens of units, each of which begins with a space; one that either's tokens do not spell has none."""
+        ids_a, ids_b = [*map(self.encode_a, units)], self.encode_b([u[1:] for u in units])  # the model adds the space
+        ids_b = [b or self.space_b for b in ids_b]  # but not to nothing
+        whole = [u.encode() for u in units]
         spell_a, spell_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for i, t, a, b in zip(some, plain, ids_a, ids_b, strict=True):
-            whole = t.encode()
-            if b"".join(map(spell_a, a)) == whole == b"".join(map(spell_b, b)):
-                used_a.append(np.array(a, np.int64))
-                used_b.append(np.array(b, np.int64))
-                sizes[:, i] = len(a), len(b)
-        none = [np.zeros(0, np.int64)]
-        return Aligned(self, np.concatenate(none + used_a), np.concatenate(none + used_b), sizes)
+        spelt = self._all_spelt(whole, ids_a, ids_b)
+        if not spelt.all():
+            each = zip(whole, ids_a, ids_b, strict=True)
+            spelt = np.array([b"".join(map(spell_a, a)) == w == b"".join(map(spell_b, b)) for w, a, b in each])
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, spelt, strict=True)] for ids in (ids_a, ids_b))
+        sizes = np.array([[*map(len, ids)] for ids in (ids_a, ids_b)], np.int64).reshape(2, -1)
+        a, b = (np.array([*chain.from_iterable(ids)], np.int64) for ids in (ids_a, ids_b))
+        return Aligned(self, a, b, sizes, spelt)
+
+    def _all_spelt(self, whole: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> np.ndarray:
+        """Whether all units are spelt, looked at at once: their bytes in a row, and where each ends."""
+        ends, joined, ok = np.cumsum([*map(len, whole)], dtype=np.int64), b"".join(whole), True
+        for ids, names, length in ((ids_a, self.bytes_a, self.length_a), (ids_b, self.bytes_b, self.length_b)):
+            flat = [*chain.from_iterable(ids)]
+            upto = np.concatenate(([0], np.cumsum(length[np.array(flat, np.int64)])))
+            last = np.cumsum([*map(len, ids)], dtype=np.int64)
+            ok = ok and b"".join(map(names.__getitem__, flat)) == joined and np.array_equal(upto[last], ends)
+        return np.full(len(whole), ok)
 
 
 class Aligned:
-    """Tokens of some texts end to end (ids a and b), the places where both end (at_a, at_b), and how many of each a text has."""
+    """Tokens of some units end to end (ids a and b), the places where both end (at_a, at_b), how many a unit has of each, and whether both spell it."""
 
-    def __init__(self, own: Aligner, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> None:
-        self.own, self.a, self.b = own, a, b
+    def __init__(self, own: Aligner, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, spelt: np.ndarray) -> None:
+        self.own, self.a, self.b, self.spelt = own, a, b, spelt
         self.n_a, self.n_b = sizes
-        # both streams spell the same bytes, so offsets over all texts do for each
+        # both streams spell the same bytes, so offsets over all units do for each
         ends_a, ends_b = np.cumsum(own.length_a[a]), np.cumsum(own.length_b[b])
         _, self.at_a, self.at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        self.upto_a = np.concatenate(([0], np.cumsum(self.n_a)))
-        self.upto = np.searchsorted(self.at_a, self.upto_a)  # links before each text
+        upto = np.concatenate(([0], np.cumsum(self.n_a)))
+        self.n_links = np.diff(np.searchsorted(self.at_a, upto))
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         return self.a[self.at_a], self.b[self.at_b]
 
-    def by_text(self, values: np.ndarray) -> np.ndarray:
-        """Sum over the links of each text."""
-        total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-        return total[self.upto[1:]] - total[self.upto[:-1]]
-
     def groups(self) -> list[bytes]:
-        """Each text's groups as `a1,a2|b1;a3|b2,b3`."""
+        """Each unit's groups as `a1,a2|b1;a3|b2,b3`."""
+        if not len(self.a):
+            return [b""] * len(self.n_a)
         last_a, last_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
         last_a[self.at_a] = last_b[self.at_b] = True
         n_a, n_b = len(self.own.bytes_a), len(self.own.bytes_b)
@@ -201,13 +217,63 @@ class Aligned:
         code[np.arange(len(self.b)) + ends_a[group_b]] = 2 * n_a + self.b + n_b * last_b
         made = self.own.names.take(pa.array(code))
         data, offsets = made.buffers()[2], np.frombuffer(made.buffers()[1], np.int64, len(code) + 1)
-        if not len(code):
-            return [b""] * len(self.n_a)
         upto = offsets[np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))]
         view = memoryview(data)
         return [bytes(view[i : max(i, j - 1)]) for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
+class Units:
+    """What a worker knows of the units that it has met; it is all dropped at KEPT_UNITS or KEPT_BYTES, so memory is bounded."""
+
+    def __init__(self, own: Aligner, index: PairIndex) -> None:
+        self.own, self.index = own, index
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.size, self.groups, self.spelt = 0, [], np.zeros(0, bool)
+        self.n_a = self.n_b = self.n_links = self.places = self.other = np.zeros(0, np.int64)
+        self.upto = np.zeros(1, np.int64)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, end to end, and the n + 1 offsets of the texts; null and empty ones have none."""
+        if len(self.number) > KEPT_UNITS or self.size > KEPT_BYTES:
+            self.clear()
+        cut = [CUT.findall(f" {t}") if t else [] for t in texts]
+        known = len(self.number)
+        number = self.number
+        out = np.array([number.setdefault(u, len(number)) for units in cut for u in units], np.int64)
+        new = [*islice(number, known, None)]
+        if new:
+            self._learn(new)
+        return out, np.concatenate(([0], np.cumsum([len(c) for c in cut], dtype=np.int64)))
+
+    def _learn(self, new: list[str]) -> None:
+        made = self.own.align(new)
+        a, b = made.links()
+        join = lambda name, more: setattr(self, name, np.concatenate((getattr(self, name), more)))
+        for name, more in (("n_a", made.n_a), ("n_b", made.n_b), ("n_links", made.n_links), ("spelt", made.spelt), ("places", self.index.places(a, b)), ("other", b)):
+            join(name, more)
+        self.upto = np.concatenate(([0], np.cumsum(self.n_links)))
+        self.groups += made.groups()
+        self.size += sum(map(len, new)) + sum(map(len, self.groups[-len(new) :]))
+
+    def by_unit(self, values: np.ndarray) -> np.ndarray:
+        """Sum over the links of each unit."""
+        total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+        return total[self.upto[1:]] - total[self.upto[:-1]]
+
+
+def _by_text(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    return total[ends[1:]] - total[ends[:-1]]
+
+
+def _spelt(units: Units, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts both tokenizers spell, all of their units."""
+    return _by_text(~units.spelt[at], ends) == 0
+
+
 @lru_cache(maxsize=2)
 def aligner(bytes_json: str, pieces_model: str) -> Aligner:
     """One for each pair of vocabularies in a worker."""
@@ -241,12 +307,14 @@ def pair_counts(docs: DataFrame, bytes_json: str, pieces_model: str, text_col: s
     schema = "node long, slice int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index = aligner(bytes_json, pieces_model), pair_index(bytes_json, pieces_model)
-        counts = np.zeros(len(index), np.int64)
+        units = Units(aligner(bytes_json, pieces_model), pair_index(bytes_json, pieces_model))
+        counts = np.zeros(len(units.index), np.int64)
         for batch in batches:
             for part in slices(batch, 1000, 2 << 20):
-                found = own.align(part.column(0).to_pylist())
-                counts += np.bincount(index.places(*found.links()), minlength=len(index))
+                at, ends = units.of(part.column(0).to_pylist())
+                at = at[np.repeat(_spelt(units, at, ends), np.diff(ends))]
+                times = np.bincount(at, minlength=len(units.n_links))
+                np.add.at(counts, units.places, np.repeat(times, units.n_links))
         yield _vector_rows(counts, TaskContext.get().partitionId())
 
     level = written(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema), "counts")
@@ -286,16 +354,18 @@ def align(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast((counts, best))  # bounded by the vocabularies: 8 bytes a pair or token
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index = aligner(bytes_json, pieces_model), pair_index(bytes_json, pieces_model)
+        units = Units(aligner(bytes_json, pieces_model), pair_index(bytes_json, pieces_model))
         counts, best = shared.value
         for batch in batches:
             for part in slices(batch, 1000, 2 << 20):
-                found = own.align(part.column(1).to_pylist())
-                a, b = found.links()
-                n = counts[index.places(a, b)]
-                links = found.by_text(np.ones(len(a), np.int64))
-                longs = [found.n_a, found.n_b, links, links, found.by_text(n == best[b]), found.by_text(n)]
-                groups = pa.array(found.groups(), pa.binary()).cast(pa.string())
+                at, ends = units.of(part.column(1).to_pylist())
+                ok = _spelt(units, at, ends)
+                n = counts[units.places]
+                each = [units.n_a, units.n_b, units.n_links, units.n_links, units.by_unit(n == best[units.other]), units.by_unit(n)]
+                longs = [_by_text(x[at], ends) * ok for x in each]
+                name = units.groups.__getitem__
+                texts = [b";".join(map(name, at[i:j].tolist())) if o else b"" for i, j, o in zip(ends[:-1], ends[1:], ok, strict=True)]
+                groups = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, longs), groups], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
