@@ -90,7 +90,7 @@ def test_units_are_encoded_as_the_whole_text(libraries):
     """Texts of odd white space, letters and marks: units join to the text, and their tokens to its tokens in both libraries."""
     own, model = libraries
     r = random.Random(4)
-    signs = [" ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "a", "B", "the", "'s", "'ll", "12", ".", ",", "é", "e\u0301", "ß", "汉", "ไ", "🙂", "\u200b", "▁", "\x00", "_"]
+    signs = [" ", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "a", "B", "the", "'s", "'ll", "12", ".", ",", "é", "e\u0301", "ß", "汉", "ไ", "🙂", "\u200b", "\x00", "_"]  # a text with the mark of spaces itself is not spelt, whatever its units
     for _ in range(3000):
         text = "".join(r.choice(signs) for _ in range(r.randint(1, 14)))
         units = A.CUT.findall(f" {text}")

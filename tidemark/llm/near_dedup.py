@@ -163,15 +163,21 @@ def apart_pairs(members: DataFrame, texts: DataFrame, k: int, threshold: int) ->
 
     sets = texts.join(members.groupBy("id").agg(F.first("component").alias("component")), "id").select("id", "component", "text")
     sets = written(sets.mapInArrow(explode, f"id {KEY}, component {KEY}, n long, shingle long"), "sets")
-    held = sets.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    # only what members of other components hold too can link them
+    held = sets.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "held")
     own = Window.partitionBy("id")
     ranked = sets.join(held, "shingle").withColumns({"of": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("held", "shingle"))})
     first = ranked.withColumn("left", F.col("of") - F.col("rank") + 1).where(F.col("left") * 100 >= threshold * F.col("n"))  # shingles from this one on
     first = written(first.select("id", "component", "n", "shingle", "left"), "prefixes")
+    # of each shingle the component with most members is on one side alone: its members never meet each other
+    counts = first.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    sides = counts.groupBy("shingle").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     one, two = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "left")]) for x in "ab")
-    fits = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    one = one.join(sides.select("shingle", "largest"), "shingle").where("component_a <> largest").drop("largest")
+    fits = (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     enough = (100 + threshold) * F.least("left_a", "left_b") >= threshold * (F.col("n_a") + F.col("n_b"))
-    return one.join(two, (one["shingle"] == two["shingle"]) & fits & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    met = one.join(two, (one["shingle"] == two["shingle"]) & fits & enough)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
