@@ -111,16 +111,37 @@ def between_effective(day: Column, start: Column, end: Column) -> Column:
     return (day >= start) & (end.isNull() | (day < end))
 
 
+#: Formats that measures may declare, with the unit and the decimals that they show; all others are plain numbers.
+PERCENTAGES = {f"percent_{n}dp": n for n in range(10)}
+DOLLARS = "currency_usd"
+
+
 def unit_of(fmt: Column) -> Column:
-    """The unit that a measure's format states: percent, USD or number."""
-    return F.when(fmt.rlike(r"^percent_\d+dp$"), "percent").when(fmt.startswith("currency_usd"), "USD").otherwise("number")
+    """The unit that a measure's format states: percent, USD (of all dollar formats) or number."""
+    return F.when(fmt.isin(*PERCENTAGES), "percent").when(F.left(fmt, F.lit(len(DOLLARS))) == DOLLARS, "USD").otherwise("number")
 
 
 def precision_of(fmt: Column) -> Column:
     """The decimals that a measure's format states; 0 unless it is a percentage."""
-    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(fmt, r"^percent_(\d+)dp$", 1), F.lit("")), F.lit("99")).cast("int"), F.lit(0))
+    shown = F.create_map(*[F.lit(x) for pair in PERCENTAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(shown, fmt), F.lit(0))
 
 
 def denominator_of(expression: Column) -> Column:
-    """The column that a ratio divides by, where its expression names one outright (also within nullif); else null."""
-    return F.nullif(F.regexp_extract(expression, r"(?i)/\s*(?:nullif\s*\(\s*)?([a-z_]\w*)", 1), F.lit(""))
+    """The column that a ratio divides by, where its expression names one outright, guarded against zero or not; else null.
+
+    What follows each division is looked at in turn: an opening guard is taken off, and the first word is the column unless
+    it begins like a number."""
+    blank = F.lit(" \t\r\n")
+
+    def named(part: Column) -> Column:
+        plain = F.btrim(part, blank)
+        opening = F.lower(F.btrim(F.substring_index(plain, "(", 1), blank))
+        guarded = plain.contains("(") & (opening == "nullif")
+        inside = F.btrim(F.substring(plain, F.instr(plain, "(") + 1, F.length(plain)), blank)
+        word = F.element_at(F.split(F.when(guarded, inside).otherwise(plain), "[^A-Za-z0-9_]"), 1)
+        return F.when((word != "") & ~F.left(word, F.lit(1)).between("0", "9"), word)
+
+    sides = F.split(expression, "/")
+    found = F.transform(F.slice(sides, F.lit(2), F.greatest(F.size(sides), F.lit(1))), named)
+    return F.try_element_at(F.array_compact(found), F.lit(1))

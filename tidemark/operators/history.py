@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import between_effective
 from ..sources.sinks import checkpoints
+from .keys import join_keys
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
@@ -82,6 +85,27 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def activity_metrics(events: DataFrame) -> DataFrame:
     """For each board: decisions, share approved, median wait (the upper of the two in the middle), and versions."""
-    upper = F.expr("percentile_disc(0.5) within group (order by wait_hours desc)")
     rate = F.try_divide(F.count_if("approved").cast("double"), F.count("*").cast("double"))
-    return events.groupBy("board").agg(F.count("*").alias("decisions"), rate.alias("approval_rate"), upper.alias("median_wait"), F.countDistinct("version").alias("versions"))
+    about = events.groupBy("board").agg(F.count("*").alias("decisions"), rate.alias("approval_rate"), F.countDistinct("version").alias("versions"))
+    waits = upper_middle(events, "board", "wait_hours").withColumnRenamed("middle", "median_wait")
+    return join_keys(about, waits, ["board"]).select("board", "decisions", "approval_rate", "median_wait", "versions")
+
+
+def upper_middle(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group and middle: the middle value of each group without its nulls, of an even number the upper of the two.
+
+    Equal values are counted first, by part before the shuffle, so what a group keeps together is its distinct values; they
+    are summed up in order and the one that goes over half is taken."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(group)
+    upto = F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    summed = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(own)})
+    half = F.floor(F.col("_all") / 2)  # so many values lie before the middle one
+    return summed.where((F.col("_upto") > half) & (F.col("_upto") - F.col("_n") <= half)).select(group, F.col(value).alias("middle"))
+
+
+def activity_counts(fixes: DataFrame, boards: DataFrame, proposals: DataFrame) -> DataFrame:
+    """figure, name and n: fixes applied by rule (column rule), and boards and proposals by status (column status), with a row of name null for all of each."""
+    parts = [("fixes", fixes.select(F.col("rule").alias("name"))), ("boards", boards.select(F.col("status").alias("name"))), ("proposals", proposals.select(F.col("status").alias("name")))]
+    listed = reduce(DataFrame.unionByName, [df.select(F.lit(figure).alias("figure"), F.coalesce("name", F.lit("(none)")).alias("name")) for figure, df in parts])
+    return listed.rollup("figure", "name").agg(F.count("*").alias("n")).where("figure is not null")

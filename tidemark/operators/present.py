@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import Ladder, formatted, ladder_ordinal
+from ..sources.sinks import stored
+from .ranks import median
 
 TOTAL = "(total)"
 
@@ -42,8 +44,8 @@ def waterfall(moves: DataFrame, key: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: Column) -> DataFrame:
     """Equal bins, as many as Sturges' rule says but 3 to 12, with counts, and the exact median of all."""
-    x = df.where(value.isNotNull()).select(value.cast("double").alias("x"))
-    about = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", 0.5).alias("median"))
+    x = stored(df.where(value.isNotNull()).select(value.cast("double").alias("x")), "values")
+    about = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("median", F.lit(median(x)).cast("double"))
     about = about.withColumn("bins", F.greatest(F.lit(3), F.least(F.lit(12), (F.ceil(F.log2("n")) + 1).cast("int"))))
     place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))), F.col("bins") - 1)).cast("int")
     counts = x.crossJoin(F.broadcast(about)).groupBy(place.alias("bin")).agg(F.count("*").alias("records"))

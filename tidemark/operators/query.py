@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapters import scan_trailing
+from ..sources.filed import FiledTable
 from .keys import join_keys
 from .measures import Measure
 
@@ -40,11 +42,37 @@ def conditions(filters: Sequence[tuple[str, str, object]]) -> Column:
     return out
 
 
+def _marked(view: DataFrame, now: date | None, prior: date | None) -> DataFrame:
+    now, prior = (F.lit(d).cast("date") for d in (now, prior))
+    return view.where((F.col(DAY) == now) | (F.col(DAY) == prior)).withColumns({"_is_now": F.col(DAY) == now, "_as_of": now})
+
+
 def _two_days(view: DataFrame, as_of: str | None, basis: str) -> DataFrame:
-    """Rows of the as-of day and its prior, marked _is_now. The two days are looked up first, so that they prune partitions."""
+    """Rows of the as-of day and its prior, marked _is_now. The two days are looked up first, so that they prune partitions.
+
+    A filed table knows its days: they are its folders, no file is opened for them, and the other days are not read."""
+    if isinstance(view, FiledTable):
+        now, prior = days_for(view.days(), as_of, basis)
+        return _marked(view.read([d for d in (now, prior) if d]), now, prior)
     found = resolve_as_of(calendar(view), as_of).select(F.col(DAY), F.col(basis)).first() or (None, None)
-    now, prior = (F.lit(d).cast("date") for d in found)
-    return view.where((F.col(DAY) == now) | (F.col(DAY) == prior)).withColumns({"_is_now": F.col(DAY) == now, "_as_of": now})
+    return _marked(view, *found)
+
+
+def days_for(days: Sequence[date], as_of: str | None, basis: str = "prior_day") -> tuple[date | None, date | None]:
+    """The as-of day, or the latest if it is unknown, and its prior, from the days in order; as `calendar` and `resolve_as_of`."""
+    if not days:
+        return None, None
+    wanted = date.fromisoformat(as_of) if as_of else None
+    now = wanted if wanted in days else days[-1]
+    at = days.index(now)
+    if basis == "prior_day":
+        return now, days[at - 1] if at else None
+    if basis == "prior_week":
+        return now, (days[max(at - 7, 0)] if at else None)
+    if basis == "month_end":
+        earlier = [d for d in days[:at] if (d.year, d.month) < (now.year, now.month)]
+        return now, earlier[-1] if earlier else None
+    raise ValueError(f"no such basis: {basis}")
 
 
 def _value(measure: Measure, now: bool) -> Column:
@@ -53,12 +81,12 @@ def _value(measure: Measure, now: bool) -> Column:
     return Measure("value" if now else "prior", measure.agg, measure.field, where, measure.weight, measure.order, measure.money).column()
 
 
-def query_scalar(view: DataFrame, measure: Measure, filters=(), as_of: str | None = None, basis: str = "prior_day") -> DataFrame:
+def query_scalar(view: DataFrame | FiledTable, measure: Measure, filters=(), as_of: str | None = None, basis: str = "prior_day") -> DataFrame:
     """Value at the as-of day and the prior; one row."""
     return _two_days(view, as_of, basis).where(conditions(filters)).agg(F.max("_as_of").alias(DAY), _value(measure, True), _value(measure, False))
 
 
-def query_groups(view: DataFrame, measure: Measure, dims: Sequence[str], filters=(), as_of: str | None = None, basis: str = "prior_day") -> DataFrame:
+def query_groups(view: DataFrame | FiledTable, measure: Measure, dims: Sequence[str], filters=(), as_of: str | None = None, basis: str = "prior_day") -> DataFrame:
     """Value and prior of each key that is present at the as-of day; a sum's missing prior is 0, another's null."""
     grouped = _two_days(view, as_of, basis).where(conditions(filters)).groupBy(*dims).agg(_value(measure, True), _value(measure, False), F.bool_or("_is_now").alias("_seen"))
     return grouped.where("_seen").drop("_seen")

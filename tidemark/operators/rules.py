@@ -7,12 +7,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import between_effective, case_value
+from ..functions.exprs import case_value
+from .effective import effective_problems, join_in_force, overlapping  # noqa: F401  also reached from here
 
 UNMAPPED = "(unmapped)"
+WORD_BITS = 62  # conditions whose results share a long
 MANY_RULES = 100  # from here on a chain of branches outgrows one generated method; rules are matched as an array instead
 
 
@@ -50,10 +52,45 @@ def classify(df: DataFrame, rules: Sequence[Rule], column: str, attribution: str
     return df.withColumns(added)
 
 
-def matched(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds _hits, the ids of all rules that match a row, in order."""
-    hits = F.filter(F.array(*[F.when(r.condition, F.lit(r.id)) for r in rules]), lambda x: x.isNotNull())
-    return df.withColumn("_hits", hits)
+def atoms_of(when: str) -> list[str]:
+    """The conditions that a condition joins by `and` outside of brackets and quotes; one with `or`, `between` or `case` there is taken whole."""
+    depth, parts, plain = 0, [""], ""
+    for word in re.findall(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\w+|\s+|.", when, re.DOTALL):
+        depth += (word == "(") - (word == ")")
+        if depth == 0 and word.lower() == "and":
+            parts.append("")
+            continue
+        parts[-1] += word
+        if depth == 0 and word[0] not in "'\"`":
+            plain += f" {word.lower()} "
+    if depth or re.search(r"\b(or|between|case)\b", plain):
+        return [when.strip()]
+    return [p.strip() for p in parts]
+
+
+def matches(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """_hits (ids of all rules that match, in order) and n, the rows that those match.
+
+    Each distinct condition that rules are made of is worked out once a row, as one bit; rows are counted by their bits, and
+    only the distinct patterns meet the rules, which are masks of bits."""
+    atoms = list(dict.fromkeys(a for r in rules for a in atoms_of(r.when)))
+    bit = {a: divmod(i, WORD_BITS) for i, a in enumerate(atoms)}
+    words = len(atoms) // WORD_BITS + 1
+    mine = lambda j: [F.when(F.expr(a), F.lit(1 << i)).otherwise(F.lit(0).cast("long")) for a, (w, i) in bit.items() if w == j]
+    columns = [reduce(lambda x, y: x.bitwiseOR(y), mine(j), F.lit(0).cast("long")).alias(f"_w{j}") for j in range(words)]
+    counted = df.select(*columns).groupBy(*[f"_w{j}" for j in range(words)]).agg(F.count("*").alias("n"))
+
+    def masks(r: Rule) -> list[int]:
+        own = [bit[a] for a in atoms_of(r.when)]
+        return [sum(1 << i for i in {i for w, i in own if w == j}) for j in range(words)]
+
+    table = [(i, r.id, masks(r)) for i, r in enumerate(rules)]
+    spark = df.sparkSession
+    one = spark.createDataFrame(table, "ord int, id string, masks array<long>")
+    listed = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "masks"))), lambda r: F.struct(r["id"], r["masks"])).alias("_rules"))
+    has = lambda r: reduce(lambda x, y: x & y, [F.col(f"_w{j}").bitwiseAND(r["masks"][j]) == r["masks"][j] for j in range(words)])
+    hits = F.transform(F.filter("_rules", has), lambda r: r["id"])
+    return counted.crossJoin(F.broadcast(listed)).select(hits.alias("_hits"), "n")  # one row of rules
 
 
 def rules_table(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -87,8 +124,8 @@ def value_stats(df: DataFrame, rules: Sequence[Rule], notional: str) -> DataFram
 
 
 def _pairs(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(winner, other, records): later rules that matched a winner's rows too. Counted by hit list first, so few rows are expanded."""
-    lists = matched(df, rules).where(F.size("_hits") > 1).groupBy("_hits").agg(F.count("*").alias("n"))
+    """(winner, other, records): later rules that matched a winner's rows too. Rows are counted by the pattern of their matches first, so few are expanded."""
+    lists = matches(df, rules).where(F.size("_hits") > 1)
     return lists.select(F.col("_hits")[0].alias("winner"), F.explode(F.slice("_hits", 2, len(rules))).alias("other"), "n").groupBy("winner", "other").agg(F.sum("n").alias("records"))
 
 
@@ -157,33 +194,6 @@ def rate_misses(df: DataFrame, rates: DataFrame, keys: Sequence[str]) -> DataFra
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("records")).join(rates.select(*keys), list(keys), "left_anti")
 
 
-def overlapping(versions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Versions that begin before an earlier one of their key has ended."""
-    earlier = Window.partitionBy(*keys).orderBy("effective_from", "effective_to").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.max(F.coalesce(F.col("effective_to").cast("date"), F.to_date(F.lit("9999-12-31")))).over(earlier)
-    return versions.withColumn("_ended", ended).where(F.col("_ended") > F.col("effective_from").cast("date")).drop("_ended")
-
-
-def join_in_force(df: DataFrame, versions: DataFrame, date_col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Each row with the version in force on its own date; [effective_from, effective_to). Without a version, nulls.
-
-    Versions of a key that overlap are refused, as they would multiply rows."""
-    if not overlapping(versions, keys).isEmpty():
-        raise ValueError("versions overlap" + (f" for a key of {', '.join(keys)}" if keys else ""))
-    v = versions.alias("v")
-    on = between_effective(F.col(date_col), F.col("v.effective_from"), F.col("v.effective_to"))
-    for k in keys:
-        on = on & (df[k] == F.col(f"v.{k}"))
-    return df.join(v, on, "left").drop(*[F.col(f"v.{k}") for k in keys])
-
-
-def effective_problems(versions: DataFrame, first: str, last: str) -> DataFrame:
-    """Days of a range that no version, or more than one, covers."""
-    spine = versions.sparkSession.sql(f"select explode(sequence(date'{first}', date'{last}')) as day")
-    counted = spine.join(F.broadcast(versions), between_effective(F.col("day"), F.col("effective_from"), F.col("effective_to")), "left").groupBy("day").agg(F.count("version").alias("versions"))
-    return counted.where("versions <> 1").withColumn("problem", F.when(F.col("versions") == 0, "gap").otherwise("overlap"))
-
-
 def classify_in_force(df: DataFrame, versions: Sequence[tuple[str, str | None, Sequence[Rule]]], date_col: str, column: str) -> DataFrame:
     """Classify each row under the rule set that is in force on its date: (from, to, rules)."""
     branches = []

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 DAY = "as_of_date"
 LEAST_OBSERVATIONS = 10
 SEVERITIES = ("high", "medium", "low")
@@ -119,4 +121,4 @@ def exceptions(monitors: Sequence[tuple[str, DataFrame]], key: Column, as_of: st
 def exception_strip(breached: DataFrame, upgrades: DataFrame, acknowledged: DataFrame) -> DataFrame:
     """Breaches and pending version upgrades, without the acknowledged, ranked: columns id, kind, severity_rank, size."""
     both = breached.unionByName(upgrades).join(acknowledged.select("id"), "id", "left_anti")
-    return both.withColumn("rank", F.row_number().over(Window.orderBy("severity_rank", F.desc("size"), "id")))
+    return ranked(both, [F.col("severity_rank").asc(), F.col("size").desc(), F.col("id").asc()])

@@ -53,7 +53,7 @@ def _versions(spark: SparkSession, rows) -> DataFrame:
 _version_sql = lambda rows: "versions(version, effective_from, effective_to, rate) as (values " + ", ".join(f"({v}, date '{f}', {f'date {t!r}' if t else 'null::date'}, {r}::decimal(9,4))" for v, f, t, r in rows) + ")"
 
 query("effective_rates", f"with {POSITIONS}, {_version_sql(PLAIN_VERSIONS)} select version, count(*) as n, sum(balance_usd * rate)::double as weighted from positions left join versions on as_of_date >= effective_from and (effective_to is null or as_of_date < effective_to) group by 1")(
-    lambda s, d: C.join_in_force(positions(s, d), F.broadcast(_versions(s, PLAIN_VERSIONS)), "as_of_date").groupBy("version").agg(F.count("*").alias("n"), F.sum(F.col("balance_usd") * F.col("rate")).cast("double").alias("weighted"))
+    lambda s, d: C.join_in_force(positions(s, d), _versions(s, PLAIN_VERSIONS), "as_of_date").groupBy("version").agg(F.count("*").alias("n"), F.sum(F.col("balance_usd") * F.col("rate")).cast("double").alias("weighted"))
 )
 
 

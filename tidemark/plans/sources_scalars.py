@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators.measures import Measure, derive, series
 from ..sources import adapters, sinks
+from ..sources.filed import FiledTable
 from ..sources.sinks import scratch
 from .fixtures import ACTIVITY, BINDING, BUCKET, FILED, LADDER, POSITIONS, activity, filed, foreign_positions, positions
 from .registry import query, values
@@ -78,7 +81,9 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "filed")
     days = filed(spark, sf_dir).select("product_id", "maturity_bucket", "currency", "entity_id", "as_of_date", F.col("gross_outflow").cast("double").alias("gross_outflow"))
     sinks.write_partitions(days, path, ["as_of_date"])
-    sinks.write_partitions(adapters.scan_as_of(days, DAY).withColumn("gross_outflow", F.col("gross_outflow") + 1), path, ["as_of_date"])
+    table = FiledTable(spark, path, days.schema)
+    one = sinks.stored(table.read([date.fromisoformat(DAY)]), "day")  # a folder cannot be read while it is written over
+    sinks.write_partitions(one.withColumn("gross_outflow", F.col("gross_outflow") + 1), path, ["as_of_date"])
     return spark.read.schema(days.schema).parquet(path)
 
 
@@ -113,25 +118,27 @@ query("expr_arith", f"with {POSITIONS} select pos_key, -(balance_usd * 2 + 10.5)
     lambda s, d: positions(s, d).select("pos_key", (-(F.col("balance_usd") * 2 + F.lit(10.5).cast("decimal(4,1)"))).cast("double").alias("a"), X.safe_div(F.col("balance_usd") - 3, F.when(F.col("insured_flag"), 0).otherwise(4)).alias("b"))
 )
 
-OPERANDS = "(values (1, 5.0::double, 3.0::double), (2, null, 3.0), (3, 5.0, null), (4, -2.5, 0.0), (5, null, null), (6, 0.0, 0.0)) v(i, x, y)"
-OPERAND_ROWS = [(1, 5.0, 3.0), (2, None, 3.0), (3, 5.0, None), (4, -2.5, 0.0), (5, None, None), (6, 0.0, 0.0)]
+# every line gives two operands: amounts of its own, zero, one or both missing, equal ones
+OPERANDS = """operands as (select concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) as line,
+  case when l_linenumber % 5 = 0 then null when l_linenumber % 5 = 1 then 0 else l_discount - 0.05 end as x,
+  case when l_partkey % 4 = 0 then null when l_partkey % 4 = 1 then l_discount - 0.05 else l_tax end as y, l_quantity as n from lineitem)"""
 
 
 def _operands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of operands, nulls included, beside the discount of each line of one part."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_linenumber").agg(F.count("*").alias("n"))
-    return lines.crossJoin(F.broadcast(values(spark, OPERAND_ROWS, "i int, x double, y double")))
-
-
-def _operand_sql(columns: str) -> str:
-    return f"select l_linenumber, i, {columns} from (select l_linenumber, count(*) as n from lineitem group by 1) l, {OPERANDS}"
+    line, part = F.col("l_linenumber") % 5, F.col("l_partkey") % 4
+    own = F.col("l_discount") - 0.05
+    x = F.when(line == 0, None).when(line == 1, F.lit(0.0)).otherwise(own)
+    y = F.when(part == 0, None).when(part == 1, own).otherwise(F.col("l_tax"))
+    key = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(key, x.alias("x"), y.alias("y"), F.col("l_quantity").alias("n"))
 
 
-query("expr_minmax", _operand_sql("case when x is null or y is null then null else greatest(x, y, n::double) end as hi, case when x is null or y is null then null else least(x, y, n::double) end as lo"))(
-    lambda s, d: _operands(s, d).select("l_linenumber", "i", X.nmax(F.col("x"), F.col("y"), F.col("n").cast("double")).alias("hi"), X.nmin(F.col("x"), F.col("y"), F.col("n").cast("double")).alias("lo"))
+_extreme = "case when x is null or y is null then null else {}(x, y, n) end"
+query("expr_minmax", f"with {OPERANDS} select line, {_extreme.format('greatest')} as hi, {_extreme.format('least')} as lo from operands")(
+    lambda s, d: _operands(s, d).select("line", X.nmax(F.col("x"), F.col("y"), F.col("n")).alias("hi"), X.nmin(F.col("x"), F.col("y"), F.col("n")).alias("lo"))
 )
-query("expr_nulls", _operand_sql("nullif(x, y) as a, coalesce(x, y, n::double) as b, abs(x) as c"))(
-    lambda s, d: _operands(s, d).select("l_linenumber", "i", F.nullif("x", "y").alias("a"), F.coalesce("x", "y", F.col("n").cast("double")).alias("b"), F.abs("x").alias("c"))
+query("expr_nulls", f"with {OPERANDS} select line, nullif(x, y) as a, coalesce(x, y, n) as b, abs(x) as c from operands")(
+    lambda s, d: _operands(s, d).select("line", F.nullif("x", "y").alias("a"), F.coalesce("x", "y", "n").alias("b"), F.abs("x").alias("c"))
 )
 query("expr_round", f"with {POSITIONS} select pos_key, round(balance_usd, 1)::double as r, floor(balance_usd)::bigint as f, ceil(balance_usd)::bigint as c from positions")(
     lambda s, d: positions(s, d).select("pos_key", F.round("balance_usd", 1).cast("double").alias("r"), F.floor("balance_usd").cast("long").alias("f"), F.ceil("balance_usd").cast("long").alias("c"))

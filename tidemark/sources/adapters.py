@@ -31,11 +31,22 @@ def scan_trailing(df: DataFrame, days: int, as_of: date | str) -> DataFrame:
     return df.where((F.col("as_of_date") > F.date_sub(end, days)) & (F.col("as_of_date") <= end))
 
 
-def read_snapshot(log: DataFrame, keys: Sequence[str], at) -> DataFrame:
-    """The rows of an append-only log as they were at a time: the latest load of each key until then."""
+def read_snapshot(log: DataFrame, keys: Sequence[str], at=None, load_id=None) -> DataFrame:
+    """The rows of an append-only log as they were at a time, or after a load: the latest load of each key until then.
+
+    Loads are in the order of loaded_at, and of load_id where the log has it, so that two loads at one time are told apart.
+    A load is found by its id, and one that the log does not have is refused."""
+    order = ["loaded_at", *(["load_id"] if "load_id" in log.columns else [])]
+    place = F.struct(*order)
+    if load_id is not None:
+        until = log.where(F.col("load_id") == F.lit(load_id)).agg(F.max(place).alias("p")).first()["p"]
+        if until is None:
+            raise ValueError(f"the log has no load {load_id}")
+        log = log.where(place <= F.struct(*[F.lit(until[c]).cast(log.schema[c].dataType).alias(c) for c in order]))
+    else:
+        log = log.where(F.col("loaded_at") <= F.lit(at).cast("timestamp"))
     value = F.struct(*[c for c in log.columns if c not in keys])
-    latest = log.where(F.col("loaded_at") <= F.lit(at).cast("timestamp")).groupBy(*keys).agg(F.max_by(value, F.col("loaded_at")).alias("v"))
-    return latest.select(*keys, "v.*")
+    return log.groupBy(*keys).agg(F.max_by(value, place).alias("v")).select(*keys, "v.*")
 
 
 def profile_types(df: DataFrame) -> DataFrame:

@@ -26,6 +26,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows, worked out once and written to the shared folder, laid out by some columns if given."""
+    path = scratch(df.sparkSession, name)
+    if by:
+        write_partitions(df, path, by)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Let checkpoint() write to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
