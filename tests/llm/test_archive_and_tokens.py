@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -23,25 +24,31 @@ def test_counts_are_the_library_s(docs, corpus, library):
 def test_every_prefix_is_exact(library):
     own = token_counts.PrefixCounter(BPE)
     for t in ODD:
-        table = own.running([t])[0]
         want = [len(library[0].encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
-        assert [own.prefix(t, table, n) for n in range(len(t) + 1)] == want
-        for budget in (0, 1, 5, 40):
-            assert want[own.longest_prefix(t, table, budget)] <= budget
+        assert own.table(t).tolist() == want, t
+        assert own.table(t)[-1] == own.total([t])[0]
+
+
+def test_every_prefix_of_odd_texts(library):
+    own, r = token_counts.PrefixCounter(BPE), random.Random(11)
+    signs = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "the", "'s", "'ll", "'ve", "'", "''", "12", ".", "..<", "é", "汉", "🙂", "<|endoftext|>", "<|endo", "|>", "L"]
+    for _ in range(400):
+        t = "".join(r.choice(signs) for _ in range(r.randint(1, 12)))
+        assert own.table(t).tolist() == [len(library[0].encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)], t
 
 
 def test_budget_takes_the_longest_of_all_prefixes(library):
     own = token_counts.PrefixCounter(BPE)
     for t in [*ODD, " Wednesdayx", "on Wednesday, Wednesdays" * 30]:
-        table = own.running([t])[0]
+        table = own.table(t)
         want = [len(library[0].encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
         for budget in range(max(want) + 2):
-            assert own.longest_prefix(t, table, budget) == max(n for n, w in enumerate(want) if w <= budget)
+            assert own.longest_prefix(table, budget) == max(n for n, w in enumerate(want) if w <= budget)
 
 
 def test_prefix_tables_come_with_the_rows(spark, docs):
     for r in token_counts.token_counts(docs, BPE, tables=True).collect():
-        assert (r["chunk_tokens"][-1] if r["chunk_tokens"] else 0) == r["n_tokens"]
+        assert r["prefix_tokens"][0] == 0 and r["prefix_tokens"][-1] == r["n_tokens"]
 
 
 def test_packed_ids_are_the_library_s(docs, corpus, library):

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -61,6 +60,7 @@ class PrefixCounter:
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or r"(?!)")
         self.chunk = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.piece = regex.compile(PIECES)
+        self.blank = re.compile(rf"[{SPACE}]+")
         self.follows: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
 
@@ -126,12 +126,45 @@ class PrefixCounter:
         for c in new:
             self.totals[c] = sum(map(done.__getitem__, pieces[c])) if c in pieces else 1
 
-    def running(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """For each text the ends (in characters) of its chunks, and the exact token count of the prefix up to each."""
-        cut = [self.chunks(t) for t in texts]
-        self.learn(set().union(*cut))
-        total = self.totals.__getitem__
-        return [(list(accumulate(map(len, c))), list(accumulate(map(total, c)))) for c in cut]
+    def table(self, text: str) -> np.ndarray:
+        """Exact token counts of all prefixes: entry n is that of text[:n].
+
+        The cells of a piece follow from those before it, so each byte is looked at once. Where a prefix is not cut as the
+        whole text is, its own piece is worked out: inside white space, which is one piece up to the prefix's end, inside a
+        contraction, and inside a special string, which is plain text until it is complete."""
+        out = np.zeros(len(text) + 1, np.int32)
+        start = 0
+        for m in [*self.cut.finditer(text), None]:
+            end = m.start() if m else len(text)
+            plain = text[start : m.end() - 1] if m else text[start:]
+            self._fill(out, start, plain)
+            if m:
+                out[m.end()] = out[end] + 1
+                start = m.end()
+        return out
+
+    def _fill(self, out: np.ndarray, start: int, plain: str) -> None:
+        """Counts of the prefixes that end in a stretch of plain text, from the one that ends before it."""
+        first, state = int(out[start]), (b"", [-1], [0])
+        done = np.zeros(len(plain) + 1, np.int32)  # tokens of the pieces up to a place where a piece of the whole stretch ends
+        for m in self.piece.finditer(plain):
+            i, j = m.span()
+            state = self.piece_counts(m[0].encode(), state)
+            counts = np.array(state[2], np.int32)
+            ends = np.cumsum([len(c.encode()) for c in m[0]])
+            done[i + 1 : j + 1] = done[i] + counts[ends]
+            if m[0][0] == "'" and j - i > 1 and m[0][1].isalpha():  # cut short, the mark and the letters are two pieces
+                for n in range(i + 1, j):
+                    done[n] = done[i] + len(self.merged(b"'")) + (len(self.merged(plain[i + 1 : n].encode())) if n > i + 1 else 0)
+        cut_alike = np.ones(len(plain) + 1, bool)
+        for m in self.blank.finditer(plain):  # white space, with the one that the next piece would begin with
+            i, j = m.span()
+            _, _, counts = self.piece_counts(m[0].encode())
+            ends = np.cumsum([len(c.encode()) for c in m[0]])
+            out[start + i + 1 : start + j + 1] = first + done[i] + np.array(counts, np.int32)[ends]
+            cut_alike[i + 1 : j + 1] = False
+        at = np.flatnonzero(cut_alike[1:]) + 1
+        out[start + at] = first + done[at]
 
     def total(self, texts: list[str]) -> list[int]:
         """The last entry of each text's table."""
@@ -140,41 +173,10 @@ class PrefixCounter:
         total = self.totals.__getitem__
         return [sum(map(total, c)) for c in cut]
 
-    def before(self, text: str, table: tuple[list[int], list[int]], n: int) -> tuple[int, int]:
-        """Where the text starts that text[:n] has to be worked out from, and the tokens before that.
-
-        A prefix is cut as the whole text is, but for the chunk that it ends in, and white space before that."""
-        ends, counts = table
-        k = bisect_right(ends, n)
-        if k and text[ends[k - 1] - 1 : ends[k - 1]].isspace():
-            k -= 1
-        return (ends[k - 1], counts[k - 1]) if k else (0, 0)
-
-    def prefix(self, text: str, table: tuple[list[int], list[int]], n: int) -> int:
-        """Tokens of text[:n], from the text's table and the pieces of the chunk that n falls in."""
-        start, done = self.before(text, table, n)
-        return done + self.total([text[start:n]])[0]
-
-    def longest_prefix(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
-        """The most characters n with text[:n] within a budget of tokens, though a shorter prefix may be over it.
-
-        Counts fall again inside a chunk, so the prefixes that may be within the budget are tried from the longest down,
-        some hundred at a time, which share the work on what they have in common."""
-        ends, counts = table
-        k = bisect_right(counts, budget)
-        least = ends[k - 1] if k else 0
-        # a prefix that ends two chunks on holds all of a chunk that is over the budget
-        most = min(ends[k + 1] - 1, len(text)) if k + 1 < len(ends) else len(text)
-        start, done = (ends[k - 3], counts[k - 3]) if k > 2 else (0, 0)
-        most = min(most, start + max(budget - done, 0) * self.widest)
-        for high in range(most, least, -256):
-            tried = range(high, max(high - 256, least), -1)
-            known = [self.before(text, table, n) for n in tried]
-            rest = self.total([text[at:n] for (at, _), n in zip(known, tried, strict=True)])
-            for n, (_, count), more in zip(tried, known, rest, strict=True):
-                if count + more <= budget:
-                    return n
-        return least
+    @staticmethod
+    def longest_prefix(table: np.ndarray, budget: int) -> int:
+        """The most characters n with text[:n] within a budget of tokens, from the text's table; a shorter prefix may be over it."""
+        return int(np.flatnonzero(np.asarray(table) <= budget)[-1]) if budget >= 0 else 0
 
 
 @lru_cache(maxsize=4)
@@ -188,26 +190,23 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, tables: boo
 
     One row for each input row, repeated or null ids included; no shuffle, and no more memory than one batch and the
     bounded caches. vocabulary: path of a tokenizers .json file, the same on every executor. tables: also return the
-    prefix table as the arrays chunk_ends (in characters) and chunk_tokens, from which PrefixCounter.prefix() and
-    longest_prefix() answer any prefix or budget without encoding the text again. The columns of the result are
+    prefix table as the array prefix_tokens, one entry more than the text has characters: element n is the exact count of
+    its first n characters, so truncations and budgets are looked up and nothing is encoded again. The columns of the result are
     id_col, n_bytes, n_tokens and over_limit; other columns of docs do not matter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
         for batch in batches:
-            for part in slices(batch, 2000, 32 << 20):
+            for part in slices(batch, 2000, 4 << 20 if tables else 32 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                if tables:
-                    made = own.running(texts)
-                    totals = [m[1][-1] if m[1] else 0 for m in made]
-                else:
-                    totals = own.total(texts)
+                made = [own.table(t) for t in texts] if tables else []
+                totals = [int(m[-1]) for m in made] if tables else own.total(texts)
                 out = [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())]
                 if tables:
-                    out += [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in (0, 1)]
+                    out.append(pa.array(made, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "n_bytes", "n_tokens", "over_limit", *["chunk_ends", "chunk_tokens"] * tables]
-    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", chunk_ends array<int>, chunk_tokens array<int>" * tables
+    names = [id_col, "n_bytes", "n_tokens", "over_limit", *["prefix_tokens"] * tables]
+    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_tokens array<int>" * tables
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(count, schema)
