@@ -94,9 +94,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     is_query: a Column over id_col. Queries and vectors meet block by block; each query takes its bound from the block
     of the longest vectors first, then meets the others with it. Vectors that are null or hold null or non-finite
     components, and rows with a null id, take no part; shorter vectors count as padded with zeros; an id's own rows are no candidates; repeated
-    rows of another id are candidates each, and a query id asks once. Fewer than k candidates give fewer rows. Other columns do not matter."""
+    rows of another id are candidates each, and a query id asks once, with the first of its vectors in order. Components from
+    2**53 or lengths from 2**31 on, whose inner products may not fit a long, are refused. Fewer than k candidates give fewer rows. Other columns do not matter."""
     everything = written(usable(vectors, id_col, vec_col).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
-    about = everything.agg(F.max(F.size("z")).alias("width"), F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("queries")).first()
+    about = everything.agg(F.max(F.size("z")).alias("width"), F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("queries"), F.max("norm").alias("longest")).first()
+    if (about["longest"] or 0.0) ** 2 >= 2.0**62:
+        raise OverflowError("inner products of these vectors do not fit a long")
     width = max(about["width"] or 0, 1)
     _, turn = np.linalg.eigh(gram(everything, width))
     rotation = np.ascontiguousarray(turn[:, ::-1])
@@ -112,7 +115,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
             parts = F.when(F.col("level") == lv, F.lit(-(-n // BLOCK))).otherwise(parts)
     dealt = dealt.withColumn("block", F.struct("level", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), parts).alias("part")))
     dealt = written(dealt.select("id", "z", "q", F.col("block.level").alias("level"), F.col("block.part").alias("part")), "blocks")
-    asked = dealt.where("q").select(F.col("id").alias("query_id"), "z", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("long").alias("query_block")).dropDuplicates(["query_id"])
+    asked = dealt.where("q").select(F.col("id").alias("query_id"), "z", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("long").alias("query_block"))
+    asked = asked.groupBy("query_id", "query_block").agg(F.min("z").alias("z"))
     asked = written(asked, "queries")
 
     def meet(with_floor: DataFrame, candidates: DataFrame) -> DataFrame:
