@@ -7,6 +7,7 @@ are multiplied out into tables for pairs of bytes, so a response is the sum of t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,19 +154,26 @@ def network(weights: tuple[tuple[str, tuple[int, ...], bytes], ...]) -> ByteNetw
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple:
     """Weights learned from a bounded sample of labelled rows: SAMPLE_DOCS of each label and SAMPLE_BYTES of their text at most, whole texts.
 
-    Texts of more than SAMPLE_BYTES // 8 characters are not in the sample, as one would fill it. An id with both labels counts
-    as 0. Null texts count as empty. Without labelled rows the network stays as it began."""
+    Texts of more than SAMPLE_BYTES // 8 characters are not in the sample, as one would fill it, nor are rows of repeated ids
+    beyond 4 * SAMPLE_DOCS rows in all. An id with both labels counts as 0. Null texts count as empty. Without labelled rows the network stays as it began."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     few = bounded_sample(known, "_label", SAMPLE_DOCS, "_id").select("_id", "_label", "_rank")
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where(F.length("_text") <= SAMPLE_BYTES // 8)
-    rows = texts.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select("_label", "_rank", "_text").orderBy("_rank", "_label", "_text").limit(4 * SAMPLE_DOCS).collect()  # two labels' ranks bound the sample
-    data, y, used = [], [], {0: 0, 1: 0}
-    for label, _, text in rows:
-        d = text.encode()
-        if used[label] + len(d) <= SAMPLE_BYTES:
-            used[label] += len(d)
-            data.append(d)
-            y.append(label)
+    marked = texts.join(F.broadcast(few), F.col(id_col) == F.col("_id")).withColumns({"_n": F.octet_length("_text"), "_hash": F.xxhash64("_text")})
+    # numbers come first and say which texts are within the bound; no other text comes to the driver
+    sizes = marked.orderBy("_rank", "_label", "_text").limit(4 * SAMPLE_DOCS).select("_label", "_rank", "_hash", "_n").collect()
+    used, chosen = {0: 0, 1: 0}, []
+    for label, rank, digest, n in sizes:
+        if used[label] + n <= SAMPLE_BYTES:
+            used[label] += n
+            chosen.append((label, rank, digest))
+    times, data, y = Counter(chosen), [], []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(times), "_label int, _rank int, _hash long"))
+    sample = marked.join(wanted, ["_label", "_rank", "_hash"]).groupBy("_label", "_rank", "_hash").agg(F.first("_text").alias("_text"))
+    for r in sample.orderBy("_rank", "_label", "_text").collect():
+        n = times[r["_label"], r["_rank"], r["_hash"]]
+        data += [r["_text"].encode()] * n
+        y += [r["_label"]] * n
     net = ByteNetwork.fresh()
     if data:
         net.train(data, np.array(y))
