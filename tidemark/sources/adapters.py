@@ -78,19 +78,17 @@ def adapt(df: DataFrame, binding: Binding) -> DataFrame:
 
 
 def vocab_gaps(df: DataFrame, binding: Binding, tested: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Gaps of mapped columns: values that rules test and no code produces, and codes in the data with no mapping (with their rows)."""
-    spark, parts = df.sparkSession, []
-    for name, codes in binding.values.items():
-        unreachable = [(name, "unreachable", v, 0) for v in tested.get(name, ()) if v not in codes.values()]
-        parts.append(spark.createDataFrame(unreachable, "field string, gap string, value string, records long"))
-        column = F.col(binding.columns[name])
-        known = spark.createDataFrame([(c,) for c in codes], "value string")
-        found = df.where(column.isNotNull()).groupBy(column.cast("string").alias("value")).agg(F.count("*").alias("records"))
-        parts.append(found.join(F.broadcast(known), "value", "left_anti").select(F.lit(name).alias("field"), F.lit("unmapped").alias("gap"), "value", "records"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Gaps of mapped columns: values that rules test and no code produces, and codes in the data with no mapping (with their rows). One pass for all columns."""
+    spark, maps = df.sparkSession, binding.values
+    unreachable = [(n, "unreachable", v, 0) for n, codes in maps.items() for v in tested.get(n, ()) if v not in codes.values()]
+    out = spark.createDataFrame(unreachable, "field string, gap string, value string, records long")
+    if not maps:
+        return out
+    cells = [F.struct(F.lit(n).alias("field"), F.col(binding.columns[n]).cast("string").alias("value")) for n in maps]
+    found = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null").groupBy("field", "value").agg(F.count("*").alias("records"))
+    known = spark.createDataFrame([(n, c) for n, codes in maps.items() for c in codes], "field string, value string")
+    unmapped = found.join(known, ["field", "value"], "left_anti")
+    return out.unionByName(unmapped.select("field", F.lit("unmapped").alias("gap"), "value", "records"))
 
 
 def binding_issues(columns: Sequence[str], binding: Binding, needed: Sequence[str]) -> list[str]:
