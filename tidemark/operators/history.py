@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import between_effective
 from ..sources.sinks import checkpoints
-from .keys import join_keys
+from .keys import SPREAD, join_keys
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     reach = 1
     while max_depth is None or reach < max_depth:
         onward = known.select(F.col("source").alias("_mid"), "target", F.col("depth").alias("_more"))
-        longer = ahead.select("source", F.col("target").alias("_mid"), "depth").join(onward, "_mid").groupBy("source", "target").agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
-        new = longer.join(known.select("source", "target"), ["source", "target"], "left_anti").checkpoint()
+        longer = ahead.select("source", F.col("target").alias("_mid"), "depth").join(onward.hint(SPREAD), "_mid").groupBy("source", "target").agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
+        new = longer.join(known.select("source", "target").hint(SPREAD), ["source", "target"], "left_anti").checkpoint()
         if new.isEmpty():
             break
         known, reach = known.unionByName(new), 2 * reach

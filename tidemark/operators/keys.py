@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Hint of joins that come round by round: none is broadcast, so that nothing of a table goes to the driver.
+SPREAD = "merge"
+
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys of the same names, a null key to a null key; keys come once. It stays an equi-join."""

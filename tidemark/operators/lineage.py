@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import stored
 from .history import closure
+from .keys import SPREAD
 
 REPORT, MONITOR, VIEW = "report", "variance_monitor", "metrics_view"
 #: Kinds of documents that feed others, whatever reads them.
@@ -33,16 +34,16 @@ def _anchors(edges: DataFrame, single: DataFrame) -> DataFrame:
     """node, anchor, steps: for a document that reads one other alone, the first one back that does not, by pointers that double.
 
     Where the way back only leads around a cycle, steps is null."""
-    hops = stored(edges.join(single, edges["target"] == single["node"]).select("node", F.col("source").alias("anchor"), F.lit(1).cast("long").alias("steps")), "hops")
+    hops = stored(edges.join(single.hint(SPREAD), edges["target"] == single["node"]).select("node", F.col("source").alias("anchor"), F.lit(1).cast("long").alias("steps")), "hops")
     doublings = max(hops.count(), 1).bit_length() + 1
     for _ in range(doublings):
         onward = hops.select(F.col("node").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("steps").alias("_steps"))
-        moved = hops.join(onward, "anchor", "left")
+        moved = hops.join(onward.hint(SPREAD), "anchor", "left")
         if moved.where("_anchor is not null").isEmpty():
             return hops
         hops = stored(moved.select("node", F.coalesce("_anchor", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "hops")
     around = hops.select(F.col("node").alias("anchor")).distinct().withColumn("_around", F.lit(True))
-    return hops.join(around, "anchor", "left").select("node", "anchor", F.when(F.col("_around").isNull(), F.col("steps")).alias("steps"))
+    return hops.join(around.hint(SPREAD), "anchor", "left").select("node", "anchor", F.when(F.col("_around").isNull(), F.col("steps")).alias("steps"))
 
 
 def levels(edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -56,30 +57,30 @@ def levels(edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     if docs is not None:
         names = names.union(docs.select("name").dropna())
     reads = edges.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_reads"))
-    nodes = stored(names.distinct().join(reads, "node", "left").select("node", F.coalesce("_reads", F.lit(0)).alias("_reads")), "nodes")
+    nodes = stored(names.distinct().join(reads.hint(SPREAD), "node", "left").select("node", F.coalesce("_reads", F.lit(0)).alias("_reads")), "nodes")
     back = stored(_anchors(edges, nodes.where("_reads = 1").select("node")), "anchors")
     merges = nodes.where("_reads > 1").select("node", "_reads")
-    into = edges.join(merges.select(F.col("node").alias("target")), "target", "left_semi")
-    hop = into.join(back.withColumnRenamed("node", "source"), "source", "left")
+    into = edges.join(merges.select(F.col("node").alias("target")).hint(SPREAD), "target", "left_semi")
+    hop = into.join(back.withColumnRenamed("node", "source").hint(SPREAD), "source", "left")
     alone = F.col("anchor").isNull()
     steps = F.when(alone, F.lit(1).cast("long")).otherwise(F.col("steps") + 1)
     hop = stored(hop.select(F.coalesce("anchor", "source").alias("source"), "target", steps.alias("steps")), "contracted")
     known = stored(nodes.where("_reads = 0").select("node", F.lit(0).cast("long").alias("level")), "levels")
     while True:
-        ready = hop.where("steps is not null").join(known.withColumnRenamed("node", "source"), "source")
+        ready = hop.where("steps is not null").join(known.withColumnRenamed("node", "source").hint(SPREAD), "source")
         made = ready.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("_n"), F.max(F.col("level") + F.col("steps")).alias("level"))
-        made = made.join(merges, "node").where("_n = _reads").join(known, "node", "left_anti").select("node", "level")
+        made = made.join(merges.hint(SPREAD), "node").where("_n = _reads").join(known.hint(SPREAD), "node", "left_anti").select("node", "level")
         made = stored(made, "levels")
         if made.isEmpty():
             break
         known = known.unionByName(made)
-    chained = back.join(known.select(F.col("node").alias("anchor"), "level"), "anchor").select("node", (F.col("level") + F.col("steps")).alias("level"))
-    found = stored(nodes.select("node").join(known.unionByName(chained), "node", "left"), "levels")
+    chained = back.join(known.select(F.col("node").alias("anchor"), "level").hint(SPREAD), "anchor").select("node", (F.col("level") + F.col("steps")).alias("level"))
+    found = stored(nodes.select("node").join(known.unionByName(chained).hint(SPREAD), "node", "left"), "levels")
     lost = found.where("level is null").select("node")
     problem = F.lit(None).cast("string")
     if lost.isEmpty():
         return found.select(F.col("node").alias("name"), "level", problem.alias("problem"))
-    among = edges.join(lost.withColumnRenamed("node", "source"), "source", "left_semi").join(lost.withColumnRenamed("node", "target"), "target", "left_semi")
+    among = edges.join(lost.withColumnRenamed("node", "source").hint(SPREAD), "source", "left_semi").join(lost.withColumnRenamed("node", "target").hint(SPREAD), "target", "left_semi")
     round_ = closure(among).where(F.col("source") == F.col("target")).select(F.col("source").alias("node"), F.lit(True).alias("_round"))
     problem = F.when(F.col("level").isNotNull(), None).when(F.col("_round"), ON_CYCLE).otherwise(BEHIND_CYCLE)
-    return found.join(round_, "node", "left").select(F.col("node").alias("name"), "level", problem.alias("problem"))
+    return found.join(round_.hint(SPREAD), "node", "left").select(F.col("node").alias("name"), "level", problem.alias("problem"))
