@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 START, END = "effective_from", "effective_to"
 FOREVER = datetime.date(9999, 12, 31)
 SLICES, SALTS = 64, 8  # stretches of time, and shares of the rows in each, that a merge deals a key out to
+HOT_ROWS = 500_000  # rows of a key from which a merge deals it out
 STRETCH = 32  # days of a stretch when versions are sent to every task instead
 SMALL_BYTES = 16 << 20  # which is done up to this size
 
@@ -85,15 +87,31 @@ def _measured(keyed: DataFrame, keys: Sequence[str]) -> tuple[datetime.date, int
 def merged(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], added: Sequence[str], first: datetime.date, width: int) -> DataFrame:
     """Rows (with _day) and versions in one list by key and day, where every row takes the last version that began.
 
-    One shuffle, whatever the number of versions. A key is dealt out by stretches of time, into which the version that is
-    in force goes along, and the rows of a stretch by their input partition, so that no key and no day is one task."""
+    One shuffle, whatever the number of versions. A key of more than HOT_ROWS rows, which are counted first, is dealt out by
+    stretches of time, into which the version that is in force goes along, and the rows of a stretch by their input
+    partition, so that no such key and no day of it is one task. The versions of all other keys are there once."""
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int")
     row = F.struct(*[F.col(c) for c in rows.columns])
     version = F.struct(*[F.col(c) for c in added], F.col("_to").alias("_until"))
     own = [F.col(k).alias(f"_k_{k}") for k in keys]
-    versions = _pieces(keyed, first, width, SLICES).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ahead = versions.select(*own, "_slice", "_salt", F.col("_from").alias("_at"), F.lit(0).alias("_kind"), version.alias("_version"))
-    listed = rows.select(*own, _slice(F.col("_day"), first, width, SLICES).alias("_slice"), salt.alias("_salt"), F.col("_day").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
+    hot = None
+    if keys:  # at most one key for each HOT_ROWS rows
+        hot = F.broadcast(rows.groupBy(*own).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(*[F.col(f"_k_{k}").alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
+
+    def marked(df: DataFrame) -> DataFrame:
+        """df with _hot; without keys everything is."""
+        if hot is None:
+            return df.withColumn("_hot", F.lit(True))
+        on = reduce(lambda x, y: x & y, [F.col(f"_k_{k}").eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+        return df.join(hot, on, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+    given = marked(keyed.select(*own, "_from", "_to", version.alias("_version")))
+    dealt = _pieces(given.where("_hot"), first, width, SLICES).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    versions = dealt.unionByName(given.where("not _hot").withColumns({"_slice": F.lit(0), "_salt": F.lit(0)}))
+    ahead = versions.select(*[f"_k_{k}" for k in keys], "_slice", "_salt", F.col("_from").alias("_at"), F.lit(0).alias("_kind"), "_version")
+    listed = marked(rows.select(*own, F.col("_day").alias("_at"), salt.alias("_salt"), row.alias("_row")))
+    at = F.when(F.col("_hot"), _slice(F.col("_at"), first, width, SLICES)).otherwise(0).alias("_slice")
+    listed = listed.select(*[f"_k_{k}" for k in keys], at, F.when(F.col("_hot"), F.col("_salt")).otherwise(0).alias("_salt"), "_at", F.lit(1).alias("_kind"), "_row")
     both = listed.unionByName(ahead, allowMissingColumns=True)
     line = Window.partitionBy(*[f"_k_{k}" for k in keys], "_slice", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_version", ignorenulls=True).over(line)).where("_kind = 1")
